@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The original job is a batch report over one CSV: no stream source, window,
+watermark or state. The row-wise cleaning steps (``drop_nulls``,
+``cast_sales``, ``keep_valid``) are plain projections and filters, so they
+already apply unchanged to a streaming DataFrame from ``readStream``; no
+streaming-only operator is added.
+"""
