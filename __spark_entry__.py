@@ -412,7 +412,8 @@ edges_s AS (
   SELECT src, dst, COALESCE(weight, 1.0) AS weight FROM pairs
   WHERE COALESCE(weight, 1.0) > (SELECT AVG(weight) + {COMPONENT_SIGMAS} * STDDEV_SAMP(weight) FROM pairs))"""
 
-_POWER_STEPS = 60
+_POWER_STEPS = 100
+_POWER_TOL = 1e-6
 
 
 def _centrality_ctes(edges: str = "edges") -> str:
@@ -428,7 +429,16 @@ def _centrality_ctes(edges: str = "edges") -> str:
   LEFT JOIN (SELECT a.dst AS id, SUM(a.w * q.x) AS c FROM adj a JOIN x{i-1} q ON a.src = q.id
              GROUP BY a.dst) c ON p.id = c.id)""")
         out.append(f"x{i} AS MATERIALIZED (SELECT id, y / (SELECT SQRT(SUM(y * y)) FROM y{i}) AS x FROM y{i})")
-    out.append(f"scores AS (SELECT id, x AS score FROM x{_POWER_STEPS})")
+    # stop where the reference stops: the first step whose L1 change is under n * tol
+    steps = "\n  UNION ALL ".join(
+        f"SELECT {i} AS step, (SELECT SUM(ABS(a.x - b.x)) FROM x{i} a JOIN x{i-1} b ON a.id = b.id) AS d"
+        for i in range(1, _POWER_STEPS + 1))
+    iterates = "\n  UNION ALL ".join(f"SELECT {i} AS step, id, x FROM x{i}" for i in range(1, _POWER_STEPS + 1))
+    out.append(f"deltas AS MATERIALIZED (\n  {steps})")
+    out.append(f"iterates AS MATERIALIZED (\n  {iterates})")
+    out.append(f"""scores AS (
+  SELECT id, x AS score FROM iterates
+  WHERE step = (SELECT MIN(step) FROM deltas WHERE d < (SELECT COUNT(*) FROM nodes) * {_POWER_TOL}))""")
     return ",\n".join(out)
 
 
