@@ -88,6 +88,11 @@ def eigenvector_centrality(edge_df: DataFrame, *, max_iter: int = 100, tol: floa
     oscillates. Scores are positive and have unit L2 norm. An empty graph
     gives an empty frame; no convergence within ``max_iter`` raises.
     Edges must be one row per undirected pair.
+
+    Each step is a reliable checkpoint (measured faster than persisting and
+    checkpointing every few steps, and a lost executor never recomputes more
+    than one step); two numbers per step reach the driver: the norm and the
+    change.
     """
     spark = edge_df.sparkSession
     checkpoint_dir(spark)
@@ -107,9 +112,8 @@ def eigenvector_centrality(edge_df: DataFrame, *, max_iter: int = 100, tol: floa
              .select("id", (F.col("x") + F.coalesce(F.col("c"), F.lit(0.0))).alias("y"),
                      F.col("x").alias("x_prev"))
              .checkpoint())
-        norm = y.select(F.sqrt(F.sum(F.col("y") * F.col("y")))).scalar()
-        step = y.select("id", F.try_divide(F.col("y"), F.when(norm > 0, norm).otherwise(F.lit(1.0))).alias("x"),
-                        "x_prev")
+        norm = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
+        step = y.select("id", (F.col("y") / F.lit(norm)).alias("x"), "x_prev")
         delta = step.agg(F.sum(F.abs(F.col("x") - F.col("x_prev")))).first()[0]
         x = step.select("id", "x")
         if delta is not None and delta < n * tol:
