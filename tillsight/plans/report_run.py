@@ -23,6 +23,7 @@ most the job it was running.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,7 +75,15 @@ def _threshold(pairs: DataFrame, spec) -> float | Column:
 
 
 def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
-               params: ReportParams | None = None) -> dict[str, str]:
+               params: ReportParams | None = None, *, parallel: int = 4) -> dict[str, str]:
+    """Run the whole job; returns output name -> path.
+
+    After the shared stages are written, the independent branches (forecast,
+    graph, reports, t-test) are submitted as concurrent Spark jobs from
+    ``parallel`` driver threads: the boosted-tree fit is a long chain of tiny
+    jobs on the month-grain frame and would otherwise leave the executors
+    idle. ``parallel=1`` runs everything in order.
+    """
     p = params or ReportParams()
     out = out_dir.rstrip("/")
 
@@ -82,8 +91,11 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
     invalid = diagnostics.invalid_counts(typed)
     duplicates = diagnostics.duplicate_groups(typed)
     sales = stage(cleaning.dedup(cleaning.keep_valid(typed)), "clean")
+    monthly = stage(timeseries.monthly_sales(sales), "monthly")
+    series = timeseries.monthly_series(monthly, mode=p.series_mode)
+    split = timeseries.chrono_split(timeseries.drop_upper_outliers(series, q=p.outlier_q),
+                                    frac=p.train_frac).checkpoint()
 
-    # reports
     totals = reports.city_totals(sales, place=p.place)
     tables = {
         "top_categories": reports.top_categories(sales, k=p.top_k_categories),
@@ -94,53 +106,55 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
         "high_risk_orders": reports.high_risk_orders(sales, max_sales=p.risk_max_sales,
                                                      max_transactions=p.risk_max_transactions, k=p.risk_k),
     }
+    for name in list(tables):
+        tables[f"{name}_display"] = format_report(tables[name], name)
     tables["city_totals"] = totals
     tables["city_growth_filtered"] = reports.city_growth_for(sales, choices=p.city_choices, place=p.place)
-    for name in ("top_categories", "city_growth", "category_breadth", "promotion_impact", "high_risk_orders"):
-        tables[f"{name}_display"] = format_report(tables[name], name)
-
-    # time series (monthly facts are written: three consumers)
-    monthly = stage(timeseries.monthly_sales(sales), "monthly")
     tables["kpis"] = reports.kpis(sales, monthly)
-    series = timeseries.monthly_series(monthly, mode=p.series_mode)
-    split = timeseries.chrono_split(timeseries.drop_upper_outliers(series, q=p.outlier_q),
-                                    frac=p.train_frac).checkpoint()
     corr = timeseries.correlation_matrix(monthly)
     tables["promo_correlation"] = corr
-
-    # graph
-    pairs = graph.copurchase_pairs(sales).checkpoint()
-    edge_df = graph.edges(pairs, min_weight=_threshold(pairs, p.edge_min_weight)).checkpoint()
-    scores = graph.eigenvector_centrality(edge_df)
-    top = graph.top_nodes(scores, k=p.top_nodes)
-    sub = graph.induced(edge_df, top)
-    comp_nodes = graph.largest_component(graph.vertices(sub), sub)
-    tables["graph_top_nodes"] = top
-    tables["graph_node_profile"] = graph.node_profile(comp_nodes, scores, sales)
-    tables["graph_edges"] = edge_df
-
-    # statistics
     pair = stats.ranked(totals, order_col="total_sales", key=p.place, k=2)
-    ttest = stats.welch_ttest(sales, pair, group=p.place, value="sales")
-    tables["ttest"] = ttest
-
-    # forecast
-    model = fc.fit_forecast(split.where(F.col("split") == "train"), trees=p.trees, rate=p.rate,
-                            depth=p.depth, seed=p.seed)
-    model_path = fc.save_model(model, f"{out}/model")
-    predictions = fc.predict(model, split).checkpoint()
-    metrics = stats.regression_metrics(predictions)
-    tables["forecast_predictions"] = predictions
-    tables["forecast_metrics"] = metrics
-
-    paths = write_reports(tables, f"{out}/tables", fmt=p.fmt)
-    paths["charts"] = write_chart_series(
-        chart_series(split_series=split, predictions=predictions,
-                     top_cities=reports.top_cities(sales, k=p.city_choices, place=p.place),
-                     correlation=corr, place=p.place),
-        f"{out}/charts", fmt=p.fmt)
-    summ = summary(kpis=tables["kpis"], invalid=invalid, duplicates=duplicates, ttest=ttest,
-                   top_node=top.where(F.col("rank") == 1).select("id", "score"), metrics=metrics)
-    paths.update(write_reports({"summary": summ}, out, fmt=p.fmt))
-    paths["model"] = model_path
+    tables["ttest"] = stats.welch_ttest(sales, pair, group=p.place, value="sales")
+
+    def forecast_branch() -> dict[str, DataFrame]:
+        model = fc.fit_forecast(split.where(F.col("split") == "train"), trees=p.trees, rate=p.rate,
+                                depth=p.depth, seed=p.seed)
+        fc.save_model(model, f"{out}/model")
+        predictions = fc.predict(model, split).checkpoint()
+        return {"forecast_predictions": predictions,
+                "forecast_metrics": stats.regression_metrics(predictions).checkpoint()}
+
+    def graph_branch() -> dict[str, DataFrame]:
+        pairs = graph.copurchase_pairs(sales).checkpoint()
+        edge_df = graph.edges(pairs, min_weight=_threshold(pairs, p.edge_min_weight)).checkpoint()
+        scores = graph.eigenvector_centrality(edge_df).checkpoint()
+        top = graph.top_nodes(scores, k=p.top_nodes).checkpoint()
+        sub = graph.induced(edge_df, top)
+        comp_nodes = graph.largest_component(graph.vertices(sub), sub)
+        return {"graph_edges": edge_df, "graph_top_nodes": top,
+                "graph_node_profile": graph.node_profile(comp_nodes, scores, sales)}
+
+    def write(name: str, df: DataFrame) -> dict[str, str]:
+        return write_reports({name: df}, f"{out}/tables", fmt=p.fmt)
+
+    paths: dict[str, str] = {}
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        branches = [pool.submit(forecast_branch), pool.submit(graph_branch)]
+        writes = [pool.submit(write, name, df) for name, df in tables.items()]
+        results: dict[str, DataFrame] = {}
+        for fut in branches:
+            results.update(fut.result())
+        writes += [pool.submit(write, name, df) for name, df in results.items()]
+        charts = chart_series(split_series=split, predictions=results["forecast_predictions"],
+                              top_cities=reports.top_cities(sales, k=p.city_choices, place=p.place),
+                              correlation=corr, place=p.place)
+        writes.append(pool.submit(lambda: {"charts": write_chart_series(charts, f"{out}/charts", fmt=p.fmt)}))
+        top = results["graph_top_nodes"]
+        summ = summary(kpis=tables["kpis"], invalid=invalid, duplicates=duplicates, ttest=tables["ttest"],
+                       top_node=top.where(F.col("rank") == 1).select("id", "score"),
+                       metrics=results["forecast_metrics"])
+        writes.append(pool.submit(write_reports, {"summary": summ}, out, fmt=p.fmt))
+        for fut in writes:
+            paths.update(fut.result())
+    paths["model"] = f"{out}/model"
     return paths
