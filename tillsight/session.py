@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # delete reliable checkpoint files once their DataFrame is unreachable
+    # (the graph loops write one per step)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
