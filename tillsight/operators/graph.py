@@ -178,10 +178,14 @@ def largest_component(vertex_df: DataFrame, edge_df: DataFrame) -> DataFrame:
 
 def node_profile(nodes: DataFrame, scores: DataFrame, sales: DataFrame, *,
                  item: str = "family", value: str = "sales") -> DataFrame:
-    """Per node: total sales of that category (0 when it has none) and its centrality."""
+    """Per node: total sales of that category (0 when it has none) and its centrality.
+
+    Totals are aggregated per category first (map-side partial step, output
+    bounded by the number of categories), then joined to the nodes, so no
+    fact-sized join is needed whatever the size of the node set.
+    """
     ids = nodes.select("id")
-    totals = (sales.join(ids.withColumnRenamed("id", item), item, "left_semi")
-              .groupBy(item).agg(money_round(F.sum(value), 2).alias("total_sales"))
-              .withColumnRenamed(item, "id"))
+    totals = (sales.groupBy(F.col(item).alias("id"))
+              .agg(money_round(F.sum(value), 2).alias("total_sales")))
     return (ids.join(totals, "id", "left").join(scores.select("id", "score"), "id", "left")
             .select("id", F.coalesce(F.col("total_sales"), F.lit(0.0)).alias("total_sales"), "score"))
