@@ -73,18 +73,30 @@ def _pairs(spark, d):
 
 
 def _edges_mean(spark, d):
-    p = _pairs(spark, d)
-    return graph.edges(p, min_weight=p.select(F.avg("weight")).scalar())
+    # pairs are materialised once: the threshold and the edges read the same rows
+    p = _pairs(spark, d).checkpoint()
+    return graph.edges(p, min_weight=p.select(F.avg("weight")).scalar()).checkpoint()
 
 
 def _edges_sparse(spark, d):
-    p = _pairs(spark, d)
+    p = _pairs(spark, d).checkpoint()
     thr = p.select(F.avg("weight") + COMPONENT_SIGMAS * F.stddev_samp("weight")).scalar()
-    return graph.edges(p, min_weight=thr)
+    return graph.edges(p, min_weight=thr).checkpoint()
 
 
-def _scores(spark, d):
-    return graph.eigenvector_centrality(_edges_mean(spark, d))
+def _scores(spark, d, e=None):
+    return graph.eigenvector_centrality(_edges_mean(spark, d) if e is None else e)
+
+
+def _subgraph(spark, d):
+    e = _edges_mean(spark, d)
+    return graph.induced(e, graph.top_nodes(_scores(spark, d, e), k=100))
+
+
+def _components(spark, d, largest=False):
+    e = _edges_sparse(spark, d)
+    v = graph.vertices(e)
+    return graph.largest_component(v, e) if largest else graph.connected_components(v, e)
 
 
 def _round_scores(df):
@@ -210,11 +222,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_vertices": lambda s, d: graph.vertices(_edges_mean(s, d)),
     "graph_centrality": lambda s, d: _round_scores(_scores(s, d)),
     "graph_centrality_topk": lambda s, d: _round_scores(graph.top_nodes(_scores(s, d), k=100)),
-    "graph_subgraph": lambda s, d: graph.induced(_edges_mean(s, d), graph.top_nodes(_scores(s, d), k=100)),
-    "graph_components": lambda s, d: graph.connected_components(
-        graph.vertices(_edges_sparse(s, d)), _edges_sparse(s, d)),
-    "graph_largest_component": lambda s, d: graph.largest_component(
-        graph.vertices(_edges_sparse(s, d)), _edges_sparse(s, d)),
+    "graph_subgraph": _subgraph,
+    "graph_components": lambda s, d: _components(s, d),
+    "graph_largest_component": lambda s, d: _components(s, d, largest=True),
     "graph_node_profile": q_node_profile,
     # statistics and model
     "ttest_top_cities": _ttest,

@@ -60,17 +60,21 @@ def edges(pairs: DataFrame, *, min_weight: float | Column = 2e7) -> DataFrame:
 
 
 def vertices(edge_df: DataFrame) -> DataFrame:
-    """Both ends of every edge, once."""
-    return (edge_df.select(F.col("src").alias("id"))
-            .union(edge_df.select(F.col("dst").alias("id"))).distinct())
+    """Both ends of every edge, once (one pass over the edges, no union)."""
+    return edge_df.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
 def _symmetric(edge_df: DataFrame) -> DataFrame:
-    """Both directions of each edge (a self-loop once), weight null -> 1.0."""
-    e = edge_df.select("src", "dst", F.coalesce(F.col("weight"), F.lit(1.0)).alias("w"))
-    back = e.where(F.col("src") != F.col("dst")).select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    return e.unionByName(back)
+    """Both directions of each edge (a self-loop once), weight null -> 1.0.
+
+    One pass over the edges: each row emits its two directions, so an
+    unmaterialised edge frame is computed once, not once per union side.
+    """
+    w = F.coalesce(F.col("weight"), F.lit(1.0))
+    fwd = F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), w.alias("w"))
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), w.alias("w"))
+    both = F.when(F.col("src") != F.col("dst"), F.array(fwd, back)).otherwise(F.array(fwd))
+    return edge_df.select(F.explode(both).alias("e")).select("e.*")
 
 
 def _empty_scores(spark) -> DataFrame:

@@ -51,10 +51,12 @@ def monthly_series(monthly: DataFrame, *, mode: str = "calendar") -> DataFrame:
 def drop_upper_outliers(df: DataFrame, *, col: str = "y", q: float = 0.95) -> DataFrame:
     """Keep rows with ``col`` at or below its exact ``q`` percentile (linear interpolation).
 
-    The percentile is a scalar subquery: computed once, no join.
+    For month-grain frames: the percentile is a window aggregate over the
+    whole frame, so the series is computed once (a scalar subquery would
+    re-run the fact aggregation behind it with different pruning).
     """
-    limit = df.select(F.percentile(F.col(col), F.lit(q))).scalar()
-    return df.where(F.col(col) <= limit)
+    limit = F.percentile(F.col(col), F.lit(q)).over(Window.partitionBy())
+    return df.withColumn("_limit", limit).where(F.col(col) <= F.col("_limit")).drop("_limit")
 
 
 def chrono_split(df: DataFrame, *, order: str = "ds", frac: float = 0.8,

@@ -22,9 +22,14 @@ PREDICTION_SERIES = {
 CITY_SERIES = "Total Sales"
 
 
-def _row(chart: str, series, x, y) -> list:
-    return [F.lit(chart).alias("chart"), series.alias("series"),
-            x.cast("string").alias("x"), y.cast("double").alias("y")]
+def _cell(chart, series, x, y):
+    return F.struct(F.lit(chart).alias("chart") if isinstance(chart, str) else chart.alias("chart"),
+                    series.alias("series"), x.cast("string").alias("x"), y.cast("double").alias("y"))
+
+
+def _emit(df: DataFrame, cells: list) -> DataFrame:
+    """All chart rows of one input in a single pass over it."""
+    return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
 def chart_series(*, split_series: DataFrame | None = None, predictions: DataFrame | None = None,
@@ -36,24 +41,28 @@ def chart_series(*, split_series: DataFrame | None = None, predictions: DataFram
     predictions   (ds, split, actual, predicted)     -> 'actual_vs_predicted'
     top_cities    (city, total_sales)                -> 'sales_by_city'
     correlation   (row, col, corr)                   -> 'correlation'
+
+    Each input is read once even when it feeds two charts.
     """
     parts = []
     if split_series is not None:
         day = F.date_format("ds", "yyyy-MM-dd")
         label = F.when(F.col("split") == "train", F.lit(TRAIN_SERIES)).otherwise(F.lit(TEST_SERIES))
-        parts.append(split_series.select(_row("train_test", label, day, F.col("y"))))
-        parts.append(split_series.select(_row("sales_trend", F.lit(TREND_SERIES), day, F.col("y"))))
+        parts.append(_emit(split_series, [_cell("train_test", label, day, F.col("y")),
+                                          _cell("sales_trend", F.lit(TREND_SERIES), day, F.col("y"))]))
     if predictions is not None:
         day = F.date_format("ds", "yyyy-MM-dd")
+        cells = []
         for kind in ("actual", "predicted"):
             label = F.when(F.col("split") == "train", F.lit(PREDICTION_SERIES[("train", kind)])) \
                      .otherwise(F.lit(PREDICTION_SERIES[("test", kind)]))
-            parts.append(predictions.select(_row("actual_vs_predicted", label, day, F.col(kind))))
+            cells.append(_cell("actual_vs_predicted", label, day, F.col(kind)))
+        parts.append(_emit(predictions, cells))
     if top_cities is not None:
-        parts.append(top_cities.select(_row("sales_by_city", F.lit(CITY_SERIES), F.col(place),
-                                            F.col("total_sales"))))
+        parts.append(_emit(top_cities, [_cell("sales_by_city", F.lit(CITY_SERIES), F.col(place),
+                                              F.col("total_sales"))]))
     if correlation is not None:
-        parts.append(correlation.select(_row("correlation", F.col("row"), F.col("col"), F.col("corr"))))
+        parts.append(_emit(correlation, [_cell("correlation", F.col("row"), F.col("col"), F.col("corr"))]))
     if not parts:
         raise ValueError("chart_series needs at least one input frame")
     return reduce(DataFrame.unionByName, parts)

@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 from tillsight.functions.formatting import count_text, currency_text, fixed_text
 
 
-def _kv(df: DataFrame, section: str, items: list) -> DataFrame:
+def _kv(df: DataFrame, items: list) -> DataFrame:
+    """Rows (section, metric, value) from one pass over a one-row frame."""
     cells = [F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
-                      value.cast("string").alias("value")) for metric, value in items]
+                      value.cast("string").alias("value")) for section, metric, value in items]
     return df.select(F.explode(F.array(*cells)).alias("kv")).select("kv.*")
 
 
 def summary(*, kpis: DataFrame | None = None, invalid: DataFrame | None = None,
             duplicates: DataFrame | None = None, ttest: DataFrame | None = None,
             top_node: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
-    """Summary rows from whichever inputs are given.
+    """Summary rows from whichever inputs are given (each input is read once).
 
     kpis        one row of ``reports.kpis``
     invalid     one row of ``diagnostics.invalid_counts`` (before cleaning)
@@ -35,45 +36,41 @@ def summary(*, kpis: DataFrame | None = None, invalid: DataFrame | None = None,
     """
     parts = []
     if kpis is not None:
-        parts.append(_kv(kpis, "kpi", [
-            ("total_sales", currency_text("total_sales")),
-            ("avg_group_sales", currency_text("avg_group_sales")),
-            ("n_records", count_text("n_records")),
-            ("period", F.col("period")),
+        parts.append(_kv(kpis, [
+            ("kpi", "total_sales", currency_text("total_sales")),
+            ("kpi", "avg_group_sales", currency_text("avg_group_sales")),
+            ("kpi", "n_records", count_text("n_records")),
+            ("kpi", "period", F.col("period")),
         ]))
     if invalid is not None:
-        parts.append(_kv(invalid, "cleaning", [
-            ("zero_sales_with_tx", F.col("zero_sales_with_tx")),
-            ("sales_with_zero_tx", F.col("sales_with_zero_tx")),
+        parts.append(_kv(invalid, [
+            ("cleaning", "zero_sales_with_tx", F.col("zero_sales_with_tx")),
+            ("cleaning", "sales_with_zero_tx", F.col("sales_with_zero_tx")),
         ]))
     if duplicates is not None:
-        parts.append(_kv(duplicates.agg(F.count(F.lit(1)).alias("n")), "cleaning",
-                         [("duplicate_groups", F.col("n"))]))
+        parts.append(_kv(duplicates.agg(F.count(F.lit(1)).alias("n")),
+                         [("cleaning", "duplicate_groups", F.col("n"))]))
     if metrics is not None:
         one = metrics.agg(*[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_{m}")
                             for s in ("train", "test") for m in ("rmse", "r2")])
-        parts.append(_kv(one, "model", [(c, fixed_text(c)) for c in
-                                        ("train_rmse", "train_r2", "test_rmse", "test_r2")]))
+        parts.append(_kv(one, [("model", c, fixed_text(c)) for c in
+                               ("train_rmse", "train_r2", "test_rmse", "test_r2")]))
     if ttest is not None:
-        parts.append(_kv(ttest, "ttest", [
-            ("groups", F.concat_ws(" vs ", "group1", "group2")),
-            ("t", fixed_text("t")),
-            ("p_value", fixed_text("p")),
+        parts.append(_kv(ttest, [
+            ("ttest", "groups", F.concat_ws(" vs ", "group1", "group2")),
+            ("ttest", "t", fixed_text("t")),
+            ("ttest", "p_value", fixed_text("p")),
+            ("recommendation", "marketing",
+             F.concat(F.lit("Focus marketing efforts in "), F.col("group1"),
+                      F.lit(" as it has significantly higher sales (T-Test p-value: "),
+                      fixed_text("p"), F.lit(")."))),
         ]))
     if top_node is not None:
-        parts.append(_kv(top_node, "centrality", [
-            ("top_category", F.col("id")),
-            ("score", fixed_text("score")),
-        ]))
-        parts.append(_kv(top_node, "recommendation", [
-            ("inventory", F.concat(F.lit("Increase inventory for "), F.col("id"),
-                                   F.lit(" due to high sales impact."))),
-        ]))
-    if ttest is not None:
-        parts.append(_kv(ttest, "recommendation", [
-            ("marketing", F.concat(F.lit("Focus marketing efforts in "), F.col("group1"),
-                                   F.lit(" as it has significantly higher sales (T-Test p-value: "),
-                                   fixed_text("p"), F.lit(")."))),
+        parts.append(_kv(top_node, [
+            ("centrality", "top_category", F.col("id")),
+            ("centrality", "score", fixed_text("score")),
+            ("recommendation", "inventory",
+             F.concat(F.lit("Increase inventory for "), F.col("id"), F.lit(" due to high sales impact."))),
         ]))
     if not parts:
         raise ValueError("summary needs at least one input frame")
