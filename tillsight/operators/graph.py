@@ -102,22 +102,26 @@ def eigenvector_centrality(edge_df: DataFrame, *, max_iter: int = 100, tol: floa
     """
     spark = edge_df.sparkSession
     checkpoint_dir(spark)
-    adj = _symmetric(edge_df).repartition("src").checkpoint()
-    nodes = adj.select(F.col("src").alias("id")).distinct().checkpoint()
+    sym = _symmetric(edge_df).withColumn("ident", F.lit(False)).checkpoint()
+    nodes = sym.select(F.col("src").alias("id")).distinct().checkpoint()
     n = nodes.count()
     if n == 0:
         return _empty_scores(spark)
+    # (A + I): the identity enters as one marked self-row per vertex, so a step is
+    # a single join + aggregate, and the same aggregate carries the previous values
+    ident = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"),
+                         F.lit(True).alias("ident"))
+    adj = sym.unionByName(ident).repartition("src").checkpoint()
     small = n <= broadcast_max_nodes
     x = nodes.select("id", F.lit(1.0 / n).alias("x"), F.lit(None).cast("double").alias("x_prev"))
     for i in range(1, max_iter + 2):
-        xv = x.select("id", "x")
-        xs = F.broadcast(xv) if small else xv
-        contrib = (adj.join(xs, adj.src == xs.id)
-                   .groupBy(F.col("dst").alias("id"))
-                   .agg(F.sum(F.col("w") * F.col("x")).alias("c")))
-        y = (x.join(contrib, "id", "left")
-             .select("id", (F.col("x") + F.coalesce(F.col("c"), F.lit(0.0))).alias("y"),
-                     F.col("x").alias("x_prev"), F.col("x_prev").alias("x_prev2"))
+        xs = F.broadcast(x) if small else x
+        own = F.col("ident")
+        y = (adj.join(xs, adj.src == xs.id)
+             .groupBy(F.col("dst").alias("id"))
+             .agg(F.sum(F.col("w") * F.col("x")).alias("y"),
+                  F.max(F.when(own, F.col("x"))).alias("x_prev"),
+                  F.max(F.when(own, F.col("x_prev"))).alias("x_prev2"))
              .checkpoint())
         row = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"),
                     F.sum(F.abs(F.col("x_prev") - F.col("x_prev2"))).alias("delta")).first()
