@@ -155,19 +155,23 @@ def connected_components(vertex_df: DataFrame, edge_df: DataFrame, *,
     (hooking), then adopt the label of one's label (pointer jumping, which
     shortens long chains). Labels only decrease and stay inside the
     component, so the loop ends exactly when a round changes nothing.
+    ``vertex_df`` must hold every end of every edge (``vertices(edges)`` does).
     """
     spark = vertex_df.sparkSession
     checkpoint_dir(spark)
-    adj = _symmetric(edge_df).select("src", "dst").repartition("src").checkpoint()
     labels = vertex_df.select("id", F.col("id").alias("component")).checkpoint()
+    # each vertex sees its own label through a marked self-row, so hooking is one
+    # join + aggregate and the same aggregate returns the label before the round
+    ident = labels.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("ident"))
+    adj = (_symmetric(edge_df).select("src", "dst", F.lit(False).alias("ident"))
+           .unionByName(ident).repartition("src").checkpoint())
     small = labels.count() <= broadcast_max_nodes
     while True:
         lb = F.broadcast(labels) if small else labels
-        nb = (adj.join(lb, adj.src == lb.id)
-               .groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("nb")))
-        hooked = (labels.join(nb, "id", "left")
-                  .select("id", F.least(F.col("component"), F.coalesce(F.col("nb"), F.col("component")))
-                          .alias("component"), F.col("component").alias("before")))
+        hooked = (adj.join(lb, adj.src == lb.id)
+                  .groupBy(F.col("dst").alias("id"))
+                  .agg(F.min("component").alias("component"),
+                       F.max(F.when(F.col("ident"), F.col("component"))).alias("before")))
         parent = hooked.select(F.col("id").alias("pid"), F.col("component").alias("pc"))
         parent = F.broadcast(parent) if small else parent
         jumped = (hooked.join(parent, hooked.component == parent.pid, "left")
