@@ -21,3 +21,14 @@ def test_run_report_end_to_end(spark):
     charts = {r.chart for r in spark.read.parquet(paths["charts"]).select("chart").distinct().collect()}
     assert charts == {"train_test", "sales_trend", "actual_vs_predicted", "sales_by_city", "correlation"}
     assert spark.read.parquet(paths["top_categories"]).count() == 5
+
+
+def test_command_line_on_csv(spark, dirty_csv_path, tmp_path):
+    from tillsight.__main__ import main
+    paths = main(["--csv", dirty_csv_path, "--out", str(tmp_path / "cli"), "--trees", "3",
+                  "--edge-min-weight", "0", "--parallel", "2"])
+    summ = {(r.section, r.metric): r.value for r in spark.read.parquet(paths["summary"]).collect()}
+    assert summ[("cleaning", "duplicate_groups")] == "1"
+    assert summ[("cleaning", "zero_sales_with_tx")] == "1"
+    assert summ[("kpi", "period")] == "2014-2015"
+    assert spark.read.parquet(paths["graph_edges"]).count() > 0
