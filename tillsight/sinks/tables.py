@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_reports(tables: dict[str, DataFrame], out_dir: str, *, fmt: str = "parquet") -> dict[str, str]:
-    """Write each report to ``out_dir/<name>``; returns name -> path."""
-    paths = {}
-    for name, df in tables.items():
+def write_reports(tables: dict[str, DataFrame], out_dir: str, *, fmt: str = "parquet",
+                  parallel: int = 4) -> dict[str, str]:
+    """Write each report to ``out_dir/<name>``; returns name -> path.
+
+    Reports are independent jobs, submitted from up to ``parallel`` driver
+    threads so that small ones do not wait for each other.
+    """
+    def one(name: str, df: DataFrame) -> tuple[str, str]:
         path = f"{out_dir.rstrip('/')}/{name}"
         writer = df.write.mode("overwrite")
         if fmt == "csv":
             writer = writer.option("header", "true")
         writer.format(fmt).save(path)
-        paths[name] = path
-    return paths
+        return name, path
+
+    if parallel <= 1 or len(tables) <= 1:
+        return dict(one(n, df) for n, df in tables.items())
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return dict(f.result() for f in [pool.submit(one, n, df) for n, df in tables.items()])
 
 
 def read_reports(spark: SparkSession, paths: dict[str, str], *, fmt: str = "parquet") -> dict[str, DataFrame]:
