@@ -110,11 +110,17 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
         tables[f"{name}_display"] = format_report(tables[name], name)
     tables["city_totals"] = totals
     tables["city_growth_filtered"] = reports.city_growth_for(sales, choices=p.city_choices, place=p.place)
-    tables["kpis"] = reports.kpis(sales, monthly)
     corr = timeseries.correlation_matrix(monthly)
     tables["promo_correlation"] = corr
     pair = stats.ranked(totals, order_col="total_sales", key=p.place, k=2)
-    tables["ttest"] = stats.welch_ttest(sales, pair, group=p.place, value="sales")
+    # small results the summary also needs: computed once (checkpointed), then
+    # both written and summarised, never recomputed from the facts
+    shared = {
+        "kpis": reports.kpis(sales, monthly),
+        "ttest": stats.welch_ttest(sales, pair, group=p.place, value="sales"),
+        "diag_invalid_counts": invalid,
+        "diag_duplicate_groups": duplicates,
+    }
 
     def forecast_branch() -> dict[str, DataFrame]:
         model = fc.fit_forecast(split.where(F.col("split") == "train"), trees=p.trees, rate=p.rate,
@@ -135,25 +141,29 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
                 "graph_node_profile": graph.node_profile(comp_nodes, scores, sales)}
 
     def write(name: str, df: DataFrame) -> dict[str, str]:
-        return write_reports({name: df}, f"{out}/tables", fmt=p.fmt)
+        return write_reports({name: df}, f"{out}/tables", fmt=p.fmt, parallel=1)
 
     paths: dict[str, str] = {}
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         branches = [pool.submit(forecast_branch), pool.submit(graph_branch)]
+        done_shared = {name: pool.submit(df.checkpoint) for name, df in shared.items()}
         writes = [pool.submit(write, name, df) for name, df in tables.items()]
-        results: dict[str, DataFrame] = {}
-        for fut in branches:
-            results.update(fut.result())
+        results: dict[str, DataFrame] = {name: fut.result() for name, fut in done_shared.items()}
         writes += [pool.submit(write, name, df) for name, df in results.items()]
+        for fut in branches:
+            branch = fut.result()
+            writes += [pool.submit(write, name, df) for name, df in branch.items()]
+            results.update(branch)
         charts = chart_series(split_series=split, predictions=results["forecast_predictions"],
                               top_cities=reports.top_cities(sales, k=p.city_choices, place=p.place),
                               correlation=corr, place=p.place)
         writes.append(pool.submit(lambda: {"charts": write_chart_series(charts, f"{out}/charts", fmt=p.fmt)}))
         top = results["graph_top_nodes"]
-        summ = summary(kpis=tables["kpis"], invalid=invalid, duplicates=duplicates, ttest=tables["ttest"],
+        summ = summary(kpis=results["kpis"], invalid=results["diag_invalid_counts"],
+                       duplicates=results["diag_duplicate_groups"], ttest=results["ttest"],
                        top_node=top.where(F.col("rank") == 1).select("id", "score"),
                        metrics=results["forecast_metrics"])
-        writes.append(pool.submit(write_reports, {"summary": summ}, out, fmt=p.fmt))
+        writes.append(pool.submit(write_reports, {"summary": summ}, out, fmt=p.fmt, parallel=1))
         for fut in writes:
             paths.update(fut.result())
     paths["model"] = f"{out}/model"
