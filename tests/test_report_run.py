@@ -32,3 +32,12 @@ def test_command_line_on_csv(spark, dirty_csv_path, tmp_path):
     assert summ[("cleaning", "zero_sales_with_tx")] == "1"
     assert summ[("kpi", "period")] == "2014-2015"
     assert spark.read.parquet(paths["graph_edges"]).count() > 0
+
+
+def test_default_thresholds_empty_graph(spark, dirty_raw, tmp_path):
+    # 2e7 is far above every pair weight here: the graph is empty, the job still completes
+    paths = run_report(spark, dirty_raw, str(tmp_path / "empty"), ReportParams(trees=3), parallel=2)
+    assert spark.read.parquet(paths["graph_edges"]).count() == 0
+    assert spark.read.parquet(paths["graph_node_profile"]).count() == 0
+    summ = {(r.section, r.metric) for r in spark.read.parquet(paths["summary"]).collect()}
+    assert ("centrality", "top_category") not in summ and ("kpi", "total_sales") in summ
