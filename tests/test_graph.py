@@ -116,3 +116,15 @@ def test_node_profile_with_apostrophes(spark, clean_sales):
     scores = spark.createDataFrame([("CHEF'S CUT", 0.3)], "id string, score double")
     got = {r.id: (r.total_sales, r.score) for r in graph.node_profile(nodes, scores, clean_sales).collect()}
     assert got == {"CHEF'S CUT": (8.0, 0.3), "NOPE": (0.0, None)}
+
+
+def test_components_long_path_with_shuffled_ids(spark):
+    import random
+    ids = [f"p{i:04d}" for i in range(300)]
+    order = ids[:]
+    random.Random(3).shuffle(order)
+    rows = [(order[i], order[i + 1], 1.0) for i in range(len(order) - 1)] + [("z1", "z2", 1.0)]
+    e = _edges(spark, rows)
+    got = {r.id: r.component for r in graph.connected_components(graph.vertices(e), e).collect()}
+    assert set(got.values()) == {"p0000", "z1"}
+    assert sum(1 for v in got.values() if v == "p0000") == 300

@@ -147,41 +147,62 @@ def induced(edge_df: DataFrame, nodes: DataFrame) -> DataFrame:
             .select("src", "dst", "weight"))
 
 
+def _undirected(edge_df: DataFrame) -> DataFrame:
+    """One row per undirected pair, stored (larger, smaller); self-loops dropped."""
+    return (edge_df.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+            .where(F.col("src") != F.col("dst")).distinct())
+
+
+def _large_star(e: DataFrame, small: bool) -> DataFrame:
+    """Every neighbour larger than u is linked to the smallest id around u (u included)."""
+    both = e.select(F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")),
+                                      F.struct(F.col("dst").alias("u"), F.col("src").alias("v"))))
+                    .alias("p")).select("p.*")
+    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return (both.join(F.broadcast(low) if small else low, "u").where(F.col("v") > F.col("u"))
+            .select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct())
+
+
+def _small_star(e: DataFrame, small: bool) -> DataFrame:
+    """u and its smaller neighbours are all linked to the smallest of them."""
+    low = e.groupBy("src").agg(F.min("dst").alias("m"))      # rows are (larger, smaller)
+    spokes = e.join(F.broadcast(low) if small else low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    centre = low.select("src", F.col("m").alias("dst"))
+    return (spokes.unionByName(centre).where(F.col("src") != F.col("dst"))
+            .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+
+
 def connected_components(vertex_df: DataFrame, edge_df: DataFrame, *,
                          broadcast_max_nodes: int = BROADCAST_MAX_NODES) -> DataFrame:
     """Component label (the smallest member id) of every vertex.
 
-    Each round: take the smallest label among a vertex and its neighbours
-    (hooking), then adopt the label of one's label (pointer jumping, which
-    shortens long chains). Labels only decrease and stay inside the
-    component, so the loop ends exactly when a round changes nothing.
-    ``vertex_df`` must hold every end of every edge (``vertices(edges)`` does).
+    Alternating large-star / small-star rounds (Kiveris et al., "Connected
+    Components in MapReduce and Beyond", 2014): each round rewires edges
+    towards smaller ids without changing connectivity, and the edge set
+    stops changing exactly when every component is a star around its
+    smallest id; the number of rounds is O(log^2 n), so long paths do not
+    need one round per hop. Every round is one reliable checkpoint and one
+    one-row action (the size of the change). A vertex without edges is its
+    own component. The per-vertex minimum frames are broadcast into the
+    round's joins only when the counted number of vertices is at most
+    ``broadcast_max_nodes``; above that the joins shuffle (and AQE splits the
+    partition of a star centre, which collects one edge per member).
     """
     spark = vertex_df.sparkSession
     checkpoint_dir(spark)
-    labels = vertex_df.select("id", F.col("id").alias("component")).checkpoint()
-    # each vertex sees its own label through a marked self-row, so hooking is one
-    # join + aggregate and the same aggregate returns the label before the round
-    ident = labels.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("ident"))
-    adj = (_symmetric(edge_df).select("src", "dst", F.lit(False).alias("ident"))
-           .unionByName(ident).repartition("src").checkpoint())
-    small = labels.count() <= broadcast_max_nodes
+    e = _undirected(edge_df).checkpoint()
+    small = vertex_df.count() <= broadcast_max_nodes
     while True:
-        lb = F.broadcast(labels) if small else labels
-        hooked = (adj.join(lb, adj.src == lb.id)
-                  .groupBy(F.col("dst").alias("id"))
-                  .agg(F.min("component").alias("component"),
-                       F.max(F.when(F.col("ident"), F.col("component"))).alias("before")))
-        parent = hooked.select(F.col("id").alias("pid"), F.col("component").alias("pc"))
-        parent = F.broadcast(parent) if small else parent
-        jumped = (hooked.join(parent, hooked.component == parent.pid, "left")
-                  .select("id", F.least(F.col("component"), F.coalesce(F.col("pc"), F.col("component")))
-                          .alias("component"), "before")
-                  .checkpoint())
-        changed = jumped.where(F.col("component") != F.col("before")).count()
-        labels = jumped.select("id", "component")
+        nxt = _small_star(_large_star(e, small), small).checkpoint()
+        # edges present on one side only of a full outer join are the change
+        changed = (nxt.withColumn("_n", F.lit(1)).join(e.withColumn("_o", F.lit(1)), ["src", "dst"], "full_outer")
+                   .where(F.col("_n").isNull() | F.col("_o").isNull()).count())
+        e = nxt
         if changed == 0:
-            return labels
+            break
+    centre = e.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("c"))
+    return (vertex_df.select("id").join(centre, "id", "left")
+            .select("id", F.coalesce(F.col("c"), F.col("id")).alias("component")))
 
 
 def largest_component(vertex_df: DataFrame, edge_df: DataFrame) -> DataFrame:
