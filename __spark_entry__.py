@@ -25,7 +25,10 @@ from tillsight.functions.rounding import money_round
 from tillsight.operators import cleaning, diagnostics, graph, reports, stats, timeseries
 from tillsight.operators import forecast as fc
 from tillsight.session import staging_path
+from tillsight.operators.reports import PROMOTION_LABELS
 from tillsight.sinks import chart_series, report_manifest, summary, write_reports
+from tillsight.sinks.charts import CITY_SERIES, TEST_SERIES, TRAIN_SERIES, TREND_SERIES
+from tillsight.sinks.summary import INVENTORY_TEXT, MARKETING_TEXT
 from tillsight.sources import raw_sales_from_star, read_sales_csv, sales_from_star, write_sales_csv
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -355,10 +358,10 @@ category_breadth AS (
   FROM per_place GROUP BY unique_categories ORDER BY unique_categories LIMIT 5)"""
 
 PROMO = f"""promotion_impact AS (
-  SELECT CASE WHEN onpromotion = 0 THEN 'No Promotion'
-              WHEN onpromotion <= 10 THEN 'Low Promotion (0-10)'
-              WHEN onpromotion <= 50 THEN 'Medium Promotion (11-50)'
-              ELSE 'High Promotion (>50)' END AS promotion_range,
+  SELECT CASE WHEN onpromotion = 0 THEN '{PROMOTION_LABELS[0]}'
+              WHEN onpromotion <= 10 THEN '{PROMOTION_LABELS[1]}'
+              WHEN onpromotion <= 50 THEN '{PROMOTION_LABELS[2]}'
+              ELSE '{PROMOTION_LABELS[3]}' END AS promotion_range,
          {_mr('SUM(sales)')} AS total_sales, {_mr('AVG(sales)')} AS avg_sales
   FROM sales WHERE sales IS NOT NULL GROUP BY 1)"""
 
@@ -607,10 +610,11 @@ FROM ok GROUP BY split"""
         f"SELECT '{name}' AS report, COUNT(*) AS \"rows\" FROM {cte}" for name, cte in manifest)
     o["chart_series"] = _w(SALES, SERIES, TOP_CITIES) + f""",
 corr AS ({_corr_body('monthly')})
-SELECT 'train_test' AS chart, CASE WHEN split = 'train' THEN 'Train Data' ELSE 'Test Data' END AS series,
+SELECT 'train_test' AS chart,
+       CASE WHEN split = 'train' THEN '{TRAIN_SERIES}' ELSE '{TEST_SERIES}' END AS series,
        strftime(ds, '%Y-%m-%d') AS x, y FROM split
-UNION ALL SELECT 'sales_trend', 'Total Sales', strftime(ds, '%Y-%m-%d'), y FROM split
-UNION ALL SELECT 'sales_by_city', 'Total Sales', city, total_sales FROM top_cities
+UNION ALL SELECT 'sales_trend', '{TREND_SERIES}', strftime(ds, '%Y-%m-%d'), y FROM split
+UNION ALL SELECT 'sales_by_city', '{CITY_SERIES}', city, total_sales FROM top_cities
 UNION ALL SELECT 'correlation', "row", col, corr FROM corr"""
     o["report_summary"] = _w(SALES, CLEAN, MONTHLY, TTEST, CENTRALITY) + f""",
 kpi AS (
@@ -634,10 +638,9 @@ UNION ALL SELECT 'ttest', 'p_value', {_f4('p')} FROM ttest
 UNION ALL SELECT 'centrality', 'top_category', id FROM top1
 UNION ALL SELECT 'centrality', 'score', {_f4('score')} FROM top1
 UNION ALL SELECT 'recommendation', 'inventory',
-       'Increase inventory for ' || id || ' due to high sales impact.' FROM top1
+       '{INVENTORY_TEXT[0]}' || id || '{INVENTORY_TEXT[1]}' FROM top1
 UNION ALL SELECT 'recommendation', 'marketing',
-       'Focus marketing efforts in ' || group1 || ' as it has significantly higher sales (T-Test p-value: '
-       || {_f4('p')} || ').' FROM ttest"""
+       '{MARKETING_TEXT[0]}' || group1 || '{MARKETING_TEXT[1]}' || {_f4('p')} || '{MARKETING_TEXT[2]}' FROM ttest"""
     return o
 
 

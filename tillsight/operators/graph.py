@@ -166,7 +166,8 @@ def _large_star(e: DataFrame, small: bool) -> DataFrame:
 def _small_star(e: DataFrame, small: bool) -> DataFrame:
     """u and its smaller neighbours are all linked to the smallest of them."""
     low = e.groupBy("src").agg(F.min("dst").alias("m"))      # rows are (larger, smaller)
-    spokes = e.join(F.broadcast(low) if small else low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+    spokes = (e.join(F.broadcast(low) if small else low, "src")
+              .select(F.col("dst").alias("src"), F.col("m").alias("dst")))
     centre = low.select("src", F.col("m").alias("dst"))
     return (spokes.unionByName(centre).where(F.col("src") != F.col("dst"))
             .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())

@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.formatting import count_text, currency_text, fixed_text
 
+# The two recommendation sentences of the original report, with
+# the top category and the top city (and its p-value, four decimals) filled in.
+INVENTORY_TEXT = ("Increase inventory for ", " due to high sales impact.")
+MARKETING_TEXT = ("Focus marketing efforts in ",
+                  " as it has significantly higher sales (T-Test p-value: ", ").")
+
 
 def _kv(df: DataFrame, items: list) -> DataFrame:
     """Rows (section, metric, value) from one pass over a one-row frame."""
@@ -61,16 +67,15 @@ def summary(*, kpis: DataFrame | None = None, invalid: DataFrame | None = None,
             ("ttest", "t", fixed_text("t")),
             ("ttest", "p_value", fixed_text("p")),
             ("recommendation", "marketing",
-             F.concat(F.lit("Focus marketing efforts in "), F.col("group1"),
-                      F.lit(" as it has significantly higher sales (T-Test p-value: "),
-                      fixed_text("p"), F.lit(")."))),
+             F.concat(F.lit(MARKETING_TEXT[0]), F.col("group1"), F.lit(MARKETING_TEXT[1]),
+                      fixed_text("p"), F.lit(MARKETING_TEXT[2]))),
         ]))
     if top_node is not None:
         parts.append(_kv(top_node, [
             ("centrality", "top_category", F.col("id")),
             ("centrality", "score", fixed_text("score")),
             ("recommendation", "inventory",
-             F.concat(F.lit("Increase inventory for "), F.col("id"), F.lit(" due to high sales impact."))),
+             F.concat(F.lit(INVENTORY_TEXT[0]), F.col("id"), F.lit(INVENTORY_TEXT[1]))),
         ]))
     if not parts:
         raise ValueError("summary needs at least one input frame")
