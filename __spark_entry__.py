@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.functions.formatting import format_report
+from tillsight.functions.formatting import REPORT_SPECS, format_report
 from tillsight.functions.rounding import money_round
 from tillsight.operators import cleaning, diagnostics, graph, reports, stats, timeseries
 from tillsight.operators import forecast as fc
@@ -510,6 +510,12 @@ ttest AS (
   FROM simpson)"""
 
 
+def _lab(report: str, col: str) -> str:
+    """Quoted display label of ``col`` in ``report`` (same fixed values as the Spark side)."""
+    label = {c: lab for c, lab, _ in REPORT_SPECS[report]}[col]
+    return '"' + label + '"'
+
+
 def _w(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -545,24 +551,29 @@ WHERE city = (SELECT city FROM top_cities ORDER BY city LIMIT 1)"""
        (SELECT COUNT(transactions) FROM sales) AS n_records,
        CAST(MIN(year) AS VARCHAR) || '-' || CAST(MAX(year) AS VARCHAR) AS period
 FROM monthly"""
-    o["report_formatted"] = _w(SALES, CITY_GROWTH) + f"""SELECT city AS "City",
-       {_cur('avg_sales')} AS "Average Sales", year AS "Year",
-       COALESCE(format('{{:,.2f}}', growth_rate_percent) || '%', 'N/A') AS "Annual Growth Rate (%)"
+    g = "city_growth"
+    o["report_formatted"] = _w(SALES, CITY_GROWTH) + f"""SELECT city AS {_lab(g, 'city')},
+       {_cur('avg_sales')} AS {_lab(g, 'avg_sales')}, year AS {_lab(g, 'year')},
+       COALESCE(format('{{:,.2f}}', growth_rate_percent) || '%', 'N/A') AS {_lab(g, 'growth_rate_percent')}
 FROM city_growth"""
-    o["report_formatted_top_categories"] = _w(SALES, TOP_CATEGORIES) + f"""SELECT family AS "Product Category",
-       {_cur('total_sales')} AS "Total Sales", {_cur('approx_profit')} AS "Approximate Profit"
+    g = "top_categories"
+    o["report_formatted_top_categories"] = _w(SALES, TOP_CATEGORIES) + f"""SELECT family AS {_lab(g, 'family')},
+       {_cur('total_sales')} AS {_lab(g, 'total_sales')}, {_cur('approx_profit')} AS {_lab(g, 'approx_profit')}
 FROM top_categories"""
-    o["report_formatted_category_breadth"] = _w(SALES_CUST, BREADTH) + """SELECT
-       unique_categories AS "Number of Product Categories", city_count AS "Number of Cities",
-       CAST(avg_distinct_tx AS INTEGER) AS "Average Transactions per City"
+    g = "category_breadth"
+    o["report_formatted_category_breadth"] = _w(SALES_CUST, BREADTH) + f"""SELECT
+       unique_categories AS {_lab(g, 'unique_categories')}, city_count AS {_lab(g, 'city_count')},
+       CAST(avg_distinct_tx AS INTEGER) AS {_lab(g, 'avg_distinct_tx')}
 FROM category_breadth"""
+    g = "promotion_impact"
     o["report_formatted_promotion_impact"] = _w(SALES, PROMO) + f"""SELECT
-       promotion_range AS "Promotion Range", {_cur('total_sales')} AS "Total Sales",
-       {_cur('avg_sales')} AS "Average Sales"
+       promotion_range AS {_lab(g, 'promotion_range')}, {_cur('total_sales')} AS {_lab(g, 'total_sales')},
+       {_cur('avg_sales')} AS {_lab(g, 'avg_sales')}
 FROM promotion_impact"""
+    g = "high_risk_orders"
     o["report_formatted_high_risk_orders"] = _w(SALES, HIGH_RISK_SQL) + f"""SELECT
-       store_nbr AS "Store Number", family AS "Product Category", {_cur('sales')} AS "Sales",
-       transactions AS "Transactions"
+       store_nbr AS {_lab(g, 'store_nbr')}, family AS {_lab(g, 'family')}, {_cur('sales')} AS {_lab(g, 'sales')},
+       transactions AS {_lab(g, 'transactions')}
 FROM high_risk"""
 
     o["monthly_sales"] = _w(SALES, MONTHLY) + "SELECT * FROM monthly"
