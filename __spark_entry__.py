@@ -144,7 +144,7 @@ def q_report_sink(spark, d):
 
 
 def q_forecast(spark, d):
-    s = _split(spark, d)
+    s = _split(spark, d).checkpoint()   # month grain; fit and prediction both read it
     model = fc.fit_forecast(s.where(F.col("split") == "train"), trees=FORECAST_TREES)
     path = fc.save_model(model, staging_path(spark, "forecast_model"))
     return fc.predict(fc.load_model(path), s)
