@@ -39,7 +39,8 @@ def city_growth(sales: DataFrame, *, place: str = "city") -> DataFrame:
               .agg(money_round(F.avg("sales"), 2).alias("avg_sales")))
     prev = F.lag("avg_sales").over(Window.partitionBy(place).orderBy("year"))
     growth = money_round(F.try_divide(F.col("avg_sales") - prev, prev) * 100, 2)
-    return yearly.select(F.col(place), "avg_sales", "year", growth.alias("growth_rate_percent"))
+    return (yearly.select(F.col(place), "avg_sales", "year", growth.alias("growth_rate_percent"))
+            .orderBy(place, "year"))
 
 
 def city_totals(sales: DataFrame, *, place: str = "city") -> DataFrame:
@@ -112,7 +113,8 @@ def promotion_impact(sales: DataFrame, *, cuts: tuple[float, float, float] = (0,
     return (sales.where(F.col("sales").isNotNull())
             .groupBy(promotion_bucket(cuts, labels).alias("promotion_range"))
             .agg(money_round(F.sum("sales"), 2).alias("total_sales"),
-                 money_round(F.avg("sales"), 2).alias("avg_sales")))
+                 money_round(F.avg("sales"), 2).alias("avg_sales"))
+            .orderBy(F.col("total_sales").desc(), "promotion_range"))
 
 
 def high_risk_orders(sales: DataFrame, *, max_sales: float = 10, max_transactions: int = 10,
