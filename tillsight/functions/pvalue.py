@@ -9,12 +9,18 @@ already-aggregated rows (one per compared pair), never on facts.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# Executors need not have this package installed: the UDF and its helpers are
+# shipped inside the task by value (they only use numpy, pandas and math).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TINY = 1e-300
 _EPS = 1e-15
 _MAX_TERMS = 20000
