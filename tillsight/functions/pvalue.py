@@ -25,7 +25,11 @@ _TINY = 1e-300
 _EPS = 1e-15
 _MAX_TERMS = 20000
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(a: np.ndarray) -> np.ndarray:
+    arr = np.asarray(a, dtype=float)
+    return np.array([math.lgamma(v) for v in arr.ravel()], dtype=float).reshape(arr.shape)
 
 
 def _continued_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
