@@ -39,3 +39,21 @@ def test_oracles_match_on_smoke_data():
     lines = [ln for ln in out.stdout.splitlines() if ln and not ln.startswith(" ")]
     assert "mismatches: 0" in out.stdout, out.stdout[-3000:] + out.stderr[-3000:]
     assert sum(" OK " in ln for ln in lines) == len(keys)
+
+
+def test_udf_runs_without_package_on_executors(tmp_path):
+    # driver started outside the repo: only the driver's sys.path knows the package,
+    # so the pandas UDF must travel with the task
+    script = tmp_path / "udf_check.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.insert(0, {ROOT!r})\n"
+        "from tillsight.session import build_session\n"
+        "import __spark_entry__ as E\n"
+        "spark = build_session('local[2]', shuffle_partitions=4)\n"
+        f"rows = E.queries()['ttest_top_cities'](spark, {SF_SMOKE!r}).collect()\n"
+        "print('ROWS', len(rows))\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert "ROWS 1" in out.stdout, out.stderr[-2000:]
