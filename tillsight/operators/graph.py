@@ -202,7 +202,7 @@ def connected_components(vertex_df: DataFrame, edge_df: DataFrame, *,
         if changed == 0:
             break
     centre = e.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("c"))
-    return (vertex_df.select("id").join(centre, "id", "left")
+    return (vertex_df.select("id").join(F.broadcast(centre) if small else centre, "id", "left")
             .select("id", F.coalesce(F.col("c"), F.col("id")).alias("component")))
 
 
