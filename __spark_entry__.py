@@ -161,7 +161,7 @@ def q_node_profile(spark, d):
 
 def q_summary(spark, d):
     sales = _sales(spark, d)
-    typed = _typed(spark, d)
+    typed = _typed(spark, d).checkpoint()   # two diagnostics read it
     top = graph.top_nodes(_round_scores(_scores(spark, d)), k=1).select("id", "score")
     return summary(
         kpis=reports.kpis(sales, timeseries.monthly_sales(sales)),
