@@ -20,6 +20,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # concurrent report branches share the executors instead of queueing the
+    # forecast's long chain of tiny jobs behind large report tasks (measured:
+    # whole job 27 s instead of 30 s at sf0.1)
+    "spark.scheduler.mode": "FAIR",
     # delete reliable checkpoint files once their DataFrame is unreachable
     # (the graph loops write one per step)
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
