@@ -1,5 +1,8 @@
 """The whole report job on the test tables (sf0.001), outputs read back."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from tillsight.plans import ReportParams, run_report
 from tillsight.session import staging_path
 from tillsight.sources import raw_sales_from_star
@@ -41,3 +44,37 @@ def test_default_thresholds_empty_graph(spark, dirty_raw, tmp_path):
     assert spark.read.parquet(paths["graph_node_profile"]).count() == 0
     summ = {(r.section, r.metric) for r in spark.read.parquet(paths["summary"]).collect()}
     assert ("centrality", "top_category") not in summ and ("kpi", "total_sales") in summ
+
+
+def test_written_tables_equal_direct_operators(spark):
+    from collections import Counter
+
+    from tillsight.operators import cleaning, diagnostics, graph, reports
+    raw = raw_sales_from_star(spark, SF_SMOKE)
+    out = staging_path(spark, "test-e2e-eq")
+    params = ReportParams(edge_min_weight="mean", risk_max_sales=2000, trees=3)
+    paths = run_report(spark, raw, out, params)
+    clean = cleaning.clean(raw)
+    typed = cleaning.cast_sales(cleaning.drop_nulls(raw))
+    direct = {
+        "top_categories": reports.top_categories(clean),
+        "city_growth": reports.city_growth(clean),
+        "category_breadth": reports.category_breadth(clean),
+        "promotion_impact": reports.promotion_impact(clean),
+        "high_risk_orders": reports.high_risk_orders(clean, max_sales=2000),
+        "city_totals": reports.city_totals(clean),
+        "diag_invalid_counts": diagnostics.invalid_counts(typed),
+        "diag_duplicate_groups": diagnostics.duplicate_groups(typed),
+    }
+    for name, df in direct.items():
+        written = spark.read.parquet(paths[name])
+        assert Counter(map(tuple, written.select(*df.columns).collect())) == \
+            Counter(map(tuple, df.collect())), name
+    # unrounded pair weights: equal up to the order of floating-point summation
+    pairs = graph.copurchase_pairs(clean)
+    e = graph.edges(pairs, min_weight=pairs.select(F.avg("weight")).scalar())
+    got = {(r.src, r.dst): r.weight for r in spark.read.parquet(paths["graph_edges"]).collect()}
+    want = {(r.src, r.dst): r.weight for r in e.collect()}
+    assert got.keys() == want.keys() and got
+    for k, w in want.items():
+        assert got[k] == pytest.approx(w, rel=1e-12)
