@@ -78,3 +78,20 @@ def test_written_tables_equal_direct_operators(spark):
     assert got.keys() == want.keys() and got
     for k, w in want.items():
         assert got[k] == pytest.approx(w, rel=1e-12)
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_staged_tables_are_removed(spark, dirty_raw, tmp_path, monkeypatch, keep):
+    import os
+
+    import tillsight.plans.report_run as rr
+    made = []
+
+    def recording(s, name):
+        path = str(tmp_path / f"stage-{name}")
+        made.append(path)
+        return path
+    monkeypatch.setattr(rr, "staging_path", recording)
+    rr.run_report(spark, dirty_raw, str(tmp_path / "out"), ReportParams(trees=2), parallel=2, keep_stages=keep)
+    assert len(made) == 3
+    assert all(os.path.exists(p) == keep for p in made)

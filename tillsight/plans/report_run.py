@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tillsight.functions.formatting import format_report
 from tillsight.operators import cleaning, diagnostics, graph, reports, stats, timeseries
 from tillsight.operators import forecast as fc
-from tillsight.session import staging_path
+from tillsight.session import delete_path, staging_path
 from tillsight.sinks import chart_series, summary, write_chart_series, write_reports
 
 
@@ -61,10 +61,15 @@ class ReportParams:
     fmt: str = "parquet"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared staging folder and read it back (cuts lineage)."""
+def stage(df: DataFrame, name: str, staged: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared staging folder and read it back (cuts lineage).
+
+    The path is appended to ``staged`` so the caller can delete it when done.
+    """
     path = staging_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    if staged is not None:
+        staged.append(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -75,23 +80,27 @@ def _threshold(pairs: DataFrame, spec) -> float | Column:
 
 
 def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
-               params: ReportParams | None = None, *, parallel: int = 4) -> dict[str, str]:
+               params: ReportParams | None = None, *, parallel: int = 4,
+               keep_stages: bool = False) -> dict[str, str]:
     """Run the whole job; returns output name -> path.
 
     After the shared stages are written, the independent branches (forecast,
     graph, reports, t-test) are submitted as concurrent Spark jobs from
     ``parallel`` driver threads: the boosted-tree fit is a long chain of tiny
     jobs on the month-grain frame and would otherwise leave the executors
-    idle. ``parallel=1`` runs everything in order.
+    idle. ``parallel=1`` runs everything in order. The staged typed, clean
+    and monthly tables (together about twice the input) are deleted once
+    every output is written, unless ``keep_stages``.
     """
     p = params or ReportParams()
     out = out_dir.rstrip("/")
+    staged: list[str] = []
 
-    typed = stage(cleaning.cast_sales(cleaning.drop_nulls(raw), date_format=p.date_format), "typed")
+    typed = stage(cleaning.cast_sales(cleaning.drop_nulls(raw), date_format=p.date_format), "typed", staged)
     invalid = diagnostics.invalid_counts(typed)
     duplicates = diagnostics.duplicate_groups(typed)
-    sales = stage(cleaning.dedup(cleaning.keep_valid(typed)), "clean")
-    monthly = stage(timeseries.monthly_sales(sales), "monthly")
+    sales = stage(cleaning.dedup(cleaning.keep_valid(typed)), "clean", staged)
+    monthly = stage(timeseries.monthly_sales(sales), "monthly", staged)
     series = timeseries.monthly_series(monthly, mode=p.series_mode)
     split = timeseries.chrono_split(timeseries.drop_upper_outliers(series, q=p.outlier_q),
                                     frac=p.train_frac).checkpoint()
@@ -167,4 +176,7 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
         for fut in writes:
             paths.update(fut.result())
     paths["model"] = f"{out}/model"
+    if not keep_stages:
+        for path in staged:
+            delete_path(spark, path)
     return paths
