@@ -36,6 +36,16 @@ from tillsight.sinks.charts import CITY_SERIES, TEST_SERIES, TRAIN_SERIES, TREND
 from tillsight.sinks.summary import INVENTORY_TEXT, MARKETING_TEXT
 from tillsight.sources import raw_sales_from_star, read_sales_csv, sales_from_star, write_sales_csv
 
+try:   # the training-data operators; the rest of the library works without them
+    from corpus_pipeline import run as _pipeline
+    from tillsight.llm.queries import ORACLES as _LLM_ORACLES
+    from tillsight.llm.queries import QUERIES as _LLM_QUERIES
+    _LLM_QUERIES = {**_LLM_QUERIES, "pipeline": _pipeline}
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tillsight.llm", "tillsight.llm.queries"):
+        raise
+    _LLM_QUERIES, _LLM_ORACLES = {}, {}
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 HIGH_RISK = {"max_sales": 2000, "max_transactions": 10}
@@ -252,7 +262,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_LLM_QUERIES}
 
 
 # --------------------------------------------------------------------------
@@ -663,4 +673,4 @@ UNION ALL SELECT 'recommendation', 'marketing',
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query. No entry for ``forecast_predict`` (a fitted model:
     rows-only check)."""
-    return _oracles()
+    return {**_oracles(), **_LLM_ORACLES}
