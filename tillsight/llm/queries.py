@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.common import documents
 from tillsight.llm.exact_dedup import exact_copies
+from tillsight.llm.near_dedup import NearParams, near_copies
 from tillsight.llm.quality import quality_verdicts
 
 
+def op2_near_dedup(spark, sf_dir):
+    return near_copies(documents(spark, sf_dir), NearParams(words=2))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_copies(documents(spark, sf_dir))
 
@@ -20,6 +25,7 @@ def op6_quality_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
 }
