@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.common import documents
 from tillsight.llm.exact_dedup import exact_copies
+from tillsight.llm.mixing import mix
 from tillsight.llm.near_dedup import NearParams, near_copies
 from tillsight.llm.quality import quality_verdicts
+from tillsight.llm.sharding import shard_documents
 
 
 def op2_near_dedup(spark, sf_dir):
@@ -18,16 +20,27 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_copies(documents(spark, sf_dir))
 
 
+def op4_mix_sources(spark, sf_dir):
+    return mix(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark, sf_dir):
     return (quality_verdicts(documents(spark, sf_dir), carry=["doc_id"])
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "kept", F.col("p_good")))
 
 
+def op7_shard_documents(spark, sf_dir):
+    return (shard_documents(documents(spark, sf_dir), shards=8)
+            .withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")))
+
+
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_mix_sources": op4_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op7_shard_documents": op7_shard_documents,
 }
 
 #: Code points deleted before texts are compared, as DuckDB's re2 writes them.
@@ -42,6 +55,50 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id NULLS LAST)
 """
 
+_OP4 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5(concat_ws(':', '1', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 10))
+            ::BIGINT::DOUBLE + 0.5) / 1099511627776.0 AS u
+  FROM documents),
+c AS (SELECT *, least(length(bin(size)), 64)::BIGINT AS cls FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM c GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+             2.0::DOUBLE * source_size AS cap FROM s),
+lv AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+          / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl
+       FROM w),
+t AS (SELECT source, source_size, least(cap, coalesce(
+        max(CASE WHEN lvl * weight <= cap THEN lvl END) OVER () * weight, cap)) AS target FROM lv),
+k AS (SELECT source, cls, sum(size)::BIGINT AS class_size FROM c GROUP BY source, cls HAVING sum(size) > 0),
+r0 AS (SELECT k.source, cls, (target - 2.0::DOUBLE * coalesce(sum(class_size) OVER (PARTITION BY k.source ORDER BY cls DESC
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+          / sum(class_size * cls) OVER (PARTITION BY k.source ORDER BY cls DESC
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS rate
+       FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT source, cls, least(2.0::DOUBLE, coalesce(
+        max(CASE WHEN rate * cls::DOUBLE <= 2.0 THEN rate END) OVER (PARTITION BY source) * cls::DOUBLE, 2.0::DOUBLE)) AS expected
+      FROM r0),
+e AS (SELECT c.*, t.source_size, t.target, CASE WHEN size > 0 THEN coalesce(r.expected, 0.0) ELSE 0.0 END AS expected
+      FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+      LEFT JOIN r ON c.source IS NOT DISTINCT FROM r.source AND c.cls = r.cls),
+p AS (SELECT *, floor(expected)::BIGINT AS certain, expected - floor(expected) AS p FROM e),
+q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1.0 - u)) / (p / (1.0 - p)) END AS q,
+             target - sum(size * certain) OVER (PARTITION BY source)::DOUBLE AS lacking FROM p),
+z AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size, rn
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS reached FROM q),
+m AS (SELECT *, CASE WHEN q IS NOT NULL AND reached + size <= lacking THEN 1 ELSE 0 END AS more FROM z),
+g AS (SELECT *, target - sum(size * (certain + more)) OVER (PARTITION BY source)::DOUBLE AS gap FROM m),
+f AS (SELECT *, q IS NOT NULL AND more = 0 AND abs(size - gap) < gap AS free FROM g),
+l AS (SELECT *, free AND row_number() OVER (PARTITION BY source, free ORDER BY abs(size - gap), q, doc_id, rn) = 1 AS last FROM f)
+SELECT doc_id, source, size, source_size, target, certain + more + last::INT AS copies,
+       (certain + more + last::INT) * size AS taken
+FROM l
+"""
+
 ORACLES = {
+    "op4_mix_sources": _OP4,
     "op3_exact_dedup": _OP3,
 }
