@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ ARROW_BATCH_ROWS = "2000"
 ARROW_BATCH_BYTES = "16m"
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Lower-case runs of letters."""
+    return _LETTERS.findall(text.lower())
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session (see ``ARROW_BATCH_BYTES``)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)

@@ -132,19 +132,21 @@ class LabelModel:
         return np.log(self.tables[:, 1, :]) - np.log(self.tables[:, 0, :])
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, *, tol: float = 1e-9,
-              max_steps: int = 1000) -> LabelModel:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, *, prior: np.ndarray = PRIOR, start: float = 0.5,
+              tol: float = 1e-9, max_steps: int = 1000) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns (rows of -1/0/1) and their counts.
 
+    ``start``: the share of class 1 to begin with; ``prior``: vote shares per class.
+
     ``max_steps`` bounds a numeric fit of a fixed number of parameters; the
     likelihood rises at every step, so a stop there is a usable fit.
     """
     total = float(counts.sum())
     if total == 0:
-        return LabelModel(0.5, np.repeat(PRIOR[None], patterns.shape[1], 0))
+        return LabelModel(start, np.repeat(prior[None], patterns.shape[1], 0))
     hot = patterns[:, :, None] == np.array([-1, 0, 1])            # pattern, rule, vote
-    base = PRIOR * PRIOR_WEIGHT * total + 1e-3
-    tables, share = np.repeat(PRIOR[None], patterns.shape[1], 0), 0.5
+    base = prior * PRIOR_WEIGHT * total + 1e-3
+    tables, share = np.repeat(prior[None], patterns.shape[1], 0), start
     for _ in range(max_steps):
         logit = np.log(share / (1 - share)) + np.einsum(
             "prv,rv->p", hot, np.log(tables[:, 1]) - np.log(tables[:, 0]))
@@ -152,7 +154,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, *, tol: float = 1e-9,
         mass = np.stack([np.einsum("p,prv->rv", counts - good, hot),
                          np.einsum("p,prv->rv", good, hot)], 1) + base
         new = mass / mass.sum(2, keepdims=True)
-        share = float((good.sum() + 0.5 * PRIOR_WEIGHT * total) / (total * (1 + PRIOR_WEIGHT)))
+        share = float((good.sum() + start * PRIOR_WEIGHT * total) / (total * (1 + PRIOR_WEIGHT)))
         moved = np.abs(new - tables).max()
         tables = new
         if moved < tol:

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import documents
+from tillsight.llm.common import documents, id_bucket, labels
 from tillsight.llm.exact_dedup import exact_copies
+from tillsight.llm.language import fit_languages, predict_languages
+from tillsight.llm.licenses import scan_licenses
 from tillsight.llm.mixing import mix
 from tillsight.llm.near_dedup import NearParams, near_copies
 from tillsight.llm.quality import quality_verdicts
 from tillsight.llm.sharding import shard_documents
+from tillsight.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def op1_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(id_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = fit_toxicity(docs, labels(spark, sf_dir).where(~held_out))
+    scored = score_toxicity(docs.select("doc_id", held_out.alias("held_out"), "text"), model, F.col("text"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_near_dedup(spark, sf_dir):
@@ -35,12 +46,27 @@ def op7_shard_documents(spark, sf_dir):
             .withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")))
 
 
+def op8_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(id_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = fit_languages(docs.where(~held_out))
+    return predict_languages(docs.select("doc_id", held_out.alias("held_out"), "text"), model,
+                             F.col("text")).drop("text")
+
+
+def op10_license_scan(spark, sf_dir):
+    return scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op6_quality_rules": op6_quality_rules,
     "op7_shard_documents": op7_shard_documents,
+    "op8_language_id": op8_language_id,
+    "op10_license_scan": op10_license_scan,
 }
 
 #: Code points deleted before texts are compared, as DuckDB's re2 writes them.
