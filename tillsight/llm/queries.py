@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from tillsight.llm.common import documents, id_bucket, labels
@@ -10,6 +12,7 @@ from tillsight.llm.language import fit_languages, predict_languages
 from tillsight.llm.licenses import scan_licenses
 from tillsight.llm.mixing import mix
 from tillsight.llm.near_dedup import NearParams, near_copies
+from tillsight.llm.pieces import encode_texts, model_bytes
 from tillsight.llm.quality import quality_verdicts
 from tillsight.llm.sharding import shard_documents
 from tillsight.llm.toxicity import fit_toxicity, score_toxicity
@@ -35,6 +38,14 @@ def op4_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir))
 
 
+#: Where the public tokenizer files are (a parameter of the queries; they are not part of this repository).
+TOKENIZERS = os.environ.get("TILLSIGHT_TOKENIZERS", "/opt/tokenizers")
+
+
+def op5_pieces(spark, sf_dir, model: str = f"{TOKENIZERS}/piece_bpe_32k.model"):
+    return encode_texts(documents(spark, sf_dir), model_bytes(model), keep=["doc_id"])
+
+
 def op6_quality_rules(spark, sf_dir):
     return (quality_verdicts(documents(spark, sf_dir), carry=["doc_id"])
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -63,6 +74,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_pieces": op5_pieces,
     "op6_quality_rules": op6_quality_rules,
     "op7_shard_documents": op7_shard_documents,
     "op8_language_id": op8_language_id,
