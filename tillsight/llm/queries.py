@@ -15,6 +15,7 @@ from tillsight.llm.near_dedup import NearParams, near_copies
 from tillsight.llm.pieces import encode_texts, model_bytes
 from tillsight.llm.quality import quality_verdicts
 from tillsight.llm.sharding import shard_documents
+from tillsight.llm.suffix_dedup import remove_repeats
 from tillsight.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -65,6 +66,10 @@ def op8_language_id(spark, sf_dir):
                              F.col("text")).drop("text")
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op10_license_scan(spark, sf_dir):
     return scan_licenses(documents(spark, sf_dir))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_shard_documents": op7_shard_documents,
     "op8_language_id": op8_language_id,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
