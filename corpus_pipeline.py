@@ -3,15 +3,20 @@
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor
 kept and returns a DataFrame; all but the last return the columns of documents.
 ``run`` writes every stage to the shared checkpoint folder and reads it again.
-No SQL for the rows: the quality stage fits a latent model (see tests/llm).
+
+No SQL for the rows of ``run``: the quality stage fits a latent model and the near-duplicate
+stage follows links between documents; tests/llm holds the stages against brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillsight.llm.common import documents, stage
+from tillsight.llm.common import PIECE_MODEL, documents, stage
 from tillsight.llm.exact_dedup import drop_copies
+from tillsight.llm.mixing import mix_rows
+from tillsight.llm.near_dedup import NearParams, drop_near_copies
+from tillsight.llm.pieces import encode_texts, model_bytes
 from tillsight.llm.quality import quality_verdicts
 
 ORACLE_SQL = None
@@ -27,9 +32,27 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-word shingles of similarity 0.8 or more."""
+    return drop_near_copies(docs, NearParams(words=5, percent=80))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's target takes it (a row per copy)."""
+    return mix_rows(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang and source with the piece ids of each row of the mix."""
+    return encode_texts(docs, model_bytes(PIECE_MODEL), keep=["doc_id", "lang", "source"])
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("encode_pieces", encode_pieces),
 ]
 
 

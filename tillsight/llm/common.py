@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,10 @@ from tillsight.session import staging_path
 #: (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: The public tokenizer files are not part of this repository; the folder is a parameter.
+TOKENIZERS = os.environ.get("TILLSIGHT_TOKENIZERS", "/opt/tokenizers")
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
 #: Rows of one Arrow batch are bounded in bytes as well as in number, so that a
 #: run of very long texts cannot make one huge batch in a Python worker.
 ARROW_BATCH_ROWS = "2000"

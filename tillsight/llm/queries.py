@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import documents, id_bucket, labels
+from tillsight.llm.common import PIECE_MODEL, documents, id_bucket, labels
 from tillsight.llm.exact_dedup import exact_copies
 from tillsight.llm.language import fit_languages, predict_languages
 from tillsight.llm.licenses import scan_licenses
@@ -39,11 +37,7 @@ def op4_mix_sources(spark, sf_dir):
     return mix(documents(spark, sf_dir))
 
 
-#: Where the public tokenizer files are (a parameter of the queries; they are not part of this repository).
-TOKENIZERS = os.environ.get("TILLSIGHT_TOKENIZERS", "/opt/tokenizers")
-
-
-def op5_pieces(spark, sf_dir, model: str = f"{TOKENIZERS}/piece_bpe_32k.model"):
+def op5_pieces(spark, sf_dir, model: str = PIECE_MODEL):
     return encode_texts(documents(spark, sf_dir), model_bytes(model), keep=["doc_id"])
 
 
