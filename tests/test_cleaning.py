@@ -91,3 +91,23 @@ def test_apostrophes_survive_city_filter(clean_sales):
 def test_default_city_choice_is_first_by_name(clean_sales):
     rows = reports.city_growth_for(clean_sales, choices=10).collect()
     assert {r.city for r in rows} == {"Loja"}
+
+
+def test_values_that_are_not_finite_are_malformed(spark):
+    raw = spark.createDataFrame(
+        [("1", "A", "Q", "01/05/2014", v, "1", "0") for v in ("Infinity", "-Infinity", "inf", "1e400", "NaN", "5")],
+        "store_nbr string, family string, city string, date string, sales string, transactions string, onpromotion string")
+    from tillsight.operators import timeseries
+    clean = cleaning.clean(raw)
+    assert [r.sales for r in clean.collect()] == [5.0]
+    assert [r.total_sales for r in timeseries.monthly_sales(cleaning.cast_sales(raw)).collect()] == [5.0]
+
+
+def test_parts_with_another_header_order_raise(spark, tmp_path):
+    head = "store_nbr,family,city,date,sales,transactions,onpromotion"
+    swapped = "family,store_nbr,city,date,transactions,sales,onpromotion"
+    (tmp_path / "a.csv").write_text(f"{head}\n1,A,Q,1/1/2014,5,2,0\n")
+    (tmp_path / "b.csv").write_text(f"{swapped}\nB,2,Q,1/1/2014,3,7,0\n")
+    from tillsight.sources import read_sales_csv
+    with pytest.raises(Exception, match="(?s)header does not conform|FAILED_READ_FILE"):
+        read_sales_csv(spark, str(tmp_path)).collect()

@@ -115,3 +115,39 @@ def test_currency_and_percent_text(spark):
 def test_money_round_half_cent(spark):
     df = spark.createDataFrame([(2.675,), (1.005,), (-0.125,)], "x double")
     assert [r[0] for r in df.select(money_round("x", 2)).collect()] == [2.68, 1.01, -0.13]
+
+
+def test_p_value_reaches_the_normal_limit():
+    import math
+
+    import numpy as np
+
+    from tillsight.functions.pvalue import two_sided_p
+    for dof in (1e9, 1e11, 1e13):
+        for t in (0.1, 0.5, 1.0, 2.0, 5.0):
+            got = two_sided_p(np.array([t]), np.array([dof]))[0]
+            assert abs(got - math.erfc(t / math.sqrt(2))) < 1e-6
+
+
+def test_p_value_closed_forms():
+    import math
+
+    import numpy as np
+
+    from tillsight.functions.pvalue import two_sided_p
+    for t in (0.01, 0.3, 1.0, 4.0, 50.0):
+        one = two_sided_p(np.array([t]), np.array([1.0]))[0]        # Cauchy
+        assert one == pytest.approx(1 - 2 / math.pi * math.atan(t), abs=1e-12)
+        two = two_sided_p(np.array([t]), np.array([2.0]))[0]
+        assert two == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-12)
+
+
+def test_large_amounts_keep_their_value(spark):
+    from pyspark.sql import functions as F
+
+    from tillsight.functions.formatting import currency_text
+    from tillsight.functions.rounding import money_round
+    df = spark.createDataFrame([(1e31,), (2.345,), (None,)], "x double")
+    rows = df.select(money_round("x").alias("r"), currency_text(F.col("x")).alias("t")).collect()
+    assert [r.r for r in rows] == [1e31, 2.35, None] or [r.r for r in rows] == [1e31, 2.34, None]
+    assert rows[0].t.startswith("$10,000,000") and rows[2].t is None

@@ -13,14 +13,20 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _whole_text(col: Column | str) -> Column:
+    """Integer part with thousands commas; a value beyond BIGINT has no decimals and is printed as it is."""
+    c = _c(col)
+    return F.coalesce(F.format_number(c.try_cast("bigint"), 0), F.format_number(c.cast("double"), 0))
+
+
 def currency_text(col: Column | str) -> Column:
     """'$' + integer part (truncated toward zero) with thousands commas: -1234.5 -> '$-1,234'."""
-    return F.concat(F.lit("$"), F.format_number(_c(col).try_cast("bigint"), 0))
+    return F.concat(F.lit("$"), _whole_text(col))
 
 
 def count_text(col: Column | str) -> Column:
     """Thousands-separated integer text."""
-    return F.format_number(_c(col).try_cast("bigint"), 0)
+    return _whole_text(col)
 
 
 def percent_text(col: Column | str, na: str = "N/A") -> Column:

@@ -3,8 +3,9 @@
 ``round`` on a DOUBLE rounds the shortest decimal text half-up in Spark but
 the binary value in other engines, so half-cent ties come out differently.
 Passing through DECIMAL(38, 8) first makes the tie decision on a decimal
-value in every engine. The cast is a ``try_cast``: an amount too large for
-the decimal becomes null instead of failing the job under ANSI mode.
+value in every engine: amounts are taken at eight decimals, which also absorbs
+the noise of floating-point sums. An amount too large for that decimal (1e30 and
+more) has no decimals as a DOUBLE and is returned as it is, as are NaN and infinity.
 """
 
 from __future__ import annotations
@@ -18,4 +19,4 @@ _DEC = DecimalType(38, 8)
 
 def money_round(col: Column | str, scale: int = 2) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c.try_cast(_DEC), scale).cast("double")
+    return F.coalesce(F.round(c.try_cast(_DEC), scale).cast("double"), c.cast("double"))

@@ -23,9 +23,9 @@ def drop_nulls(raw: DataFrame) -> DataFrame:
 
 def _double(col: str) -> Column:
     d = F.col(col).try_cast("double")
-    # NaN compares greater than every number in Spark, so one 'NaN' text would
-    # pass the validity filter and poison every sum: treat it as malformed.
-    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+    # NaN and infinity (also a number too large for a double) would pass the validity
+    # filter and poison every sum: any value that is not finite is malformed.
+    return F.when(F.abs(d) < F.lit(float("inf")), d)
 
 
 def _date(df: DataFrame, col: str, date_format: str) -> Column:

@@ -7,10 +7,9 @@ which read the shared folder the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -47,33 +46,30 @@ def build_session(master: str | None = None, app_name: str = "tillsight",
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder of this session.
+    """The reliable checkpoint folder of this session, set on the context if it is not yet.
 
-    Taken from the running context or ``spark.checkpoint.dir``. Only a
-    local-mode session (tests) without that setting gets a private folder;
-    on a cluster a missing setting is an error, never a machine-local path.
+    Taken from the running context or ``spark.checkpoint.dir``. Where neither names one, a folder in
+    the warehouse (``spark.sql.warehouse.dir``) is used: like the tables there it is seen by the driver
+    and all executors. Never a machine-local temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None)
+    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not _is_local(spark):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; point it at a shared folder "
-                "(HDFS/S3/ABFS) so iterative operators can cut lineage")
-        configured = tempfile.mkdtemp(prefix="tillsight-ckpt-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint; the folder is set first, so any entry point may call it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location for written tables."""
     root = checkpoint_dir(spark).rstrip("/")

@@ -1,7 +1,8 @@
 """Headered CSV source and sink for raw sales rows.
 
-Columns are read as STRING, bound by header name (a user schema would bind
-by position). Typing happens in ``operators.cleaning.cast_sales``, where a
+Columns are read as STRING. Spark binds the columns of all parts by position, so
+every part's header is checked against the first one's (``enforceSchema`` off): parts
+with another order or other names raise instead of swapping columns. Typing happens in ``operators.cleaning.cast_sales``, where a
 malformed value becomes null instead of failing the job.
 """
 
@@ -17,7 +18,7 @@ def read_sales_csv(spark: SparkSession, path: str, *,
                    required: tuple[str, ...] = REQUIRED_COLUMNS) -> DataFrame:
     """Read one file or a folder of CSV parts. Extra columns are kept."""
     df = (spark.read.option("header", "true").option("inferSchema", "false")
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("mode", "PERMISSIVE").option("enforceSchema", "false").csv(path))
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"sales CSV at {path} lacks columns: {', '.join(missing)}")
