@@ -1,7 +1,7 @@
 """Plan checks: pruning and pushdown reach the scan; no Cartesian product; no
 Python UDF on the fact path."""
 
-from tillsight.operators import graph, reports, timeseries
+from tillsight.operators import graph, reports, stats, timeseries
 from tillsight.sources import sales_from_star
 
 from tests.conftest import SF_SMALL
@@ -11,13 +11,34 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _scans(df, table):
+    """Scan lines of one table in the plan."""
+    return [line for line in _plan(df).splitlines() if f"{table}.parquet" in line and "ReadSchema" in line]
+
+
 def test_high_risk_pushes_filter_and_prunes(spark):
-    df = reports.high_risk_orders(sales_from_star(spark, SF_SMALL), max_sales=2000, max_transactions=10)
-    plan = _plan(df)
-    assert "PushedFilters" in plan
-    # lineitem scan reads only the columns the report needs
-    li = [line for line in plan.splitlines() if "lineitem" in line and "ReadSchema" in line]
-    assert li and all("l_tax" not in line and "l_returnflag" not in line for line in li)
+    df = reports.high_risk_orders(sales_from_star(spark, SF_SMALL, columns=("store_nbr", "family", "sales", "transactions")),
+                                  max_sales=2000, max_transactions=10)
+    [scan] = _scans(df, "lineitem")
+    pushed = scan[scan.index("PushedFilters"):scan.index("ReadSchema")]
+    assert "GreaterThan(l_extendedprice,0.0)" in pushed
+    assert "(l_extendedprice" in scan[scan.index("DataFilters"):scan.index("Format")]
+    assert scan[scan.index("ReadSchema: "):].strip().startswith(
+        "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_quantity:double,l_extendedprice:double>")
+
+
+def test_only_needed_dimensions_are_joined(spark):
+    promo = reports.promotion_impact(sales_from_star(spark, SF_SMALL, columns=("sales", "onpromotion")))
+    assert "part.parquet" not in _plan(promo) and "supplier.parquet" not in _plan(promo)
+    assert "Join" not in _plan(promo)
+
+
+def test_facts_are_read_once(spark):
+    pairs = graph.copurchase_pairs(sales_from_star(spark, SF_SMALL, columns=("store_nbr", "family", "date", "sales")))
+    ttest = stats.welch_ttest_top(sales_from_star(spark, SF_SMALL, columns=("city", "sales")))
+    kpis = reports.kpis(sales_from_star(spark, SF_SMALL))
+    for df in (pairs, ttest, kpis):
+        assert len(_scans(df, "lineitem")) == 1
 
 
 def test_no_cartesian_or_python_in_reports(spark):
@@ -31,7 +52,7 @@ def test_no_cartesian_or_python_in_reports(spark):
 
 def test_copurchase_aggregates_before_join(spark):
     sales = sales_from_star(spark, SF_SMALL)
-    plan = graph.copurchase_pairs(sales)._jdf.queryExecution().optimizedPlan().toString()
+    plan = graph.copurchase_pairs(sales, wide=True)._jdf.queryExecution().optimizedPlan().toString()
     # the join's children are aggregates (one cell per basket and category)
     join_at = plan.find("Join Inner")
     assert join_at >= 0 and "Aggregate" in plan[join_at:]

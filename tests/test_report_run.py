@@ -93,5 +93,25 @@ def test_staged_tables_are_removed(spark, dirty_raw, tmp_path, monkeypatch, keep
         return path
     monkeypatch.setattr(rr, "staging_path", recording)
     rr.run_report(spark, dirty_raw, str(tmp_path / "out"), ReportParams(trees=2), parallel=2, keep_stages=keep)
+    made = [p for p in made if "adjacency" not in p]
     assert len(made) == 3
     assert all(os.path.exists(p) == keep for p in made)
+
+
+def test_staged_tables_are_removed_after_a_failure(spark, dirty_raw, tmp_path, monkeypatch):
+    import os
+
+    import tillsight.plans.report_run as rr
+    made = []
+
+    def recording(s, name):
+        made.append(str(tmp_path / f"stage-{name}"))
+        return made[-1]
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("planned")
+    monkeypatch.setattr(rr, "staging_path", recording)
+    monkeypatch.setattr(rr, "summary", broken)
+    with pytest.raises(RuntimeError, match="planned"):
+        rr.run_report(spark, dirty_raw, str(tmp_path / "out"), ReportParams(trees=2), parallel=2)
+    assert made and not any(os.path.exists(p) for p in made)

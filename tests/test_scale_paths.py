@@ -11,17 +11,24 @@ def _edges(spark, rows):
     return spark.createDataFrame(rows, "src string, dst string, weight double")
 
 
-def test_graph_loops_without_broadcast_match(spark):
+def test_graph_loops_by_shuffle_joins_match(spark):
     rows = [("a", "b", 3.0), ("b", "c", 1.0), ("c", "d", 2.0), ("a", "d", 1.0), ("x", "y", 5.0)]
     e = _edges(spark, rows)
-    small = {r.id: r.score for r in graph.eigenvector_centrality(e).collect()}
-    big = {r.id: r.score for r in graph.eigenvector_centrality(e, broadcast_max_nodes=0).collect()}
+    v = graph.vertices(e)
+
+    def both():
+        return ({r.id: r.score for r in graph.eigenvector_centrality(e).collect()},
+                {r.id: r.component for r in graph.connected_components(v, e).collect()})
+    small, c1 = both()
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big, c2 = both()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
     assert small.keys() == big.keys()
     for k in small:
         assert big[k] == pytest.approx(small[k], abs=1e-12)
-    v = graph.vertices(e)
-    c1 = {r.id: r.component for r in graph.connected_components(v, e).collect()}
-    c2 = {r.id: r.component for r in graph.connected_components(v, e, broadcast_max_nodes=0).collect()}
     assert c1 == c2 == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
 
 
@@ -40,6 +47,8 @@ def test_hot_basket_and_hot_duplicate_group(spark):
     assert clean.count() == 1 + len(rest) + len(other_hot) + 1
     # pairs on the raw-typed rows (copies kept) equal the naive self-join
     pre = {(r.src, r.dst): r.weight for r in graph.copurchase_pairs(typed).collect()}
+    joined = {(r.src, r.dst): r.weight for r in graph.copurchase_pairs(typed, wide=True).collect()}
+    assert pre.keys() == joined.keys() and all(pre[k] == pytest.approx(joined[k]) for k in pre)
     rows = typed.collect()
     naive = {}
     for t1 in rows:

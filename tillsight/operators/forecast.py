@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = ("month", "year")
@@ -51,6 +51,20 @@ def predict(model: PipelineModel, df: DataFrame, *, label: str = "y",
     return scored.select("ds", split.alias("split"), F.col(label).alias("actual"), "predicted")
 
 
+def within_range(predictions: DataFrame, *, slack: float = 0.05) -> DataFrame:
+    """(ds, split, actual, in_range): whether a prediction is finite and inside the range of the training values.
+
+    ``slack`` widens the range by that share on both sides (boosting may pass a leaf mean slightly).
+    The range is a window aggregate over the month-grain frame.
+    """
+    whole = Window.partitionBy()
+    y = F.when(F.col("split") == "train", F.col("actual"))
+    low, high = F.min(y).over(whole), F.max(y).over(whole)
+    room = (high - low) * F.lit(slack)
+    ok = F.col("predicted").between(low - room, high + room)
+    return predictions.select("ds", "split", "actual", F.coalesce(ok, F.lit(False)).alias("in_range"))
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     model.write().overwrite().save(path)
     return path

@@ -5,9 +5,7 @@ undirected pair, and ``vertices(id)``. The two iterative algorithms
 (eigenvector centrality and connected components) are DataFrame loops: one
 join + aggregate per step, a reliable ``checkpoint()`` per step to the
 session's shared checkpoint folder (cuts lineage and survives executor
-loss), and one one-row action per step for the convergence test. The vertex
-frame is broadcast into the step joins only when its counted size is under
-``broadcast_max_nodes``; above that the joins shuffle.
+loss), and one one-row action per step for the convergence test.
 """
 
 from __future__ import annotations
@@ -17,9 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tillsight.functions.rounding import money_round
-from tillsight.session import checkpoint_dir
-
-BROADCAST_MAX_NODES = 1_000_000
+from tillsight.session import checkpointed, delete_path, staging_path
 
 
 class ConvergenceError(RuntimeError):
@@ -27,7 +23,7 @@ class ConvergenceError(RuntimeError):
 
 
 def copurchase_pairs(sales: DataFrame, *, basket: tuple[str, ...] = ("store_nbr", "date"),
-                     item: str = "family", value: str = "sales") -> DataFrame:
+                     item: str = "family", value: str = "sales", wide: bool = False) -> DataFrame:
     """Category pairs bought in the same basket, weighted by the first category's sales.
 
     For rows t1, t2 of one basket with t1.item < t2.item the weight adds
@@ -36,6 +32,10 @@ def copurchase_pairs(sales: DataFrame, *, basket: tuple[str, ...] = ("store_nbr"
     aggregated to one cell per (basket, item), with a map-side partial step,
     so a basket contributes at most C(k, 2) pairs for k categories however
     many rows it has, and a hot basket is collapsed before any shuffle.
+
+    The cells of a basket then form one array (bounded by the categories) and its pairs are
+    spelt out from it: the facts are read once and nothing is joined. ``wide=True`` joins the
+    cells with themselves instead, for items so many (SKUs) that a basket's array would be large.
     """
     keys = list(basket)
     present = F.col(item).isNotNull()
@@ -44,6 +44,13 @@ def copurchase_pairs(sales: DataFrame, *, basket: tuple[str, ...] = ("store_nbr"
     cells = (sales.where(present)
              .groupBy(*keys, item)
              .agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n")))
+    if not wide:
+        basket_cells = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), "s", "n"))).alias("c"))
+        later = lambda x, at: F.transform(
+            F.slice("c", at + 2, F.size("c")),
+            lambda y: F.struct(x["i"].alias("src"), y["i"].alias("dst"), (x["s"] * y["n"]).alias("w")))
+        return (basket_cells.where(F.size("c") > 1).select(F.explode(F.flatten(F.transform("c", later))).alias("p"))
+                .groupBy("p.src", "p.dst").agg(F.sum("p.w").alias("weight")))
     a, b = cells.alias("a"), cells.alias("b")
     cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col(f"a.{item}") < F.col(f"b.{item}")]
     return (a.join(b, cond)
@@ -82,8 +89,7 @@ def _empty_scores(spark) -> DataFrame:
                                                  StructField("score", DoubleType())]))
 
 
-def eigenvector_centrality(edge_df: DataFrame, *, max_iter: int = 100, tol: float = 1e-6,
-                           broadcast_max_nodes: int = BROADCAST_MAX_NODES) -> DataFrame:
+def eigenvector_centrality(edge_df: DataFrame, *, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """Weighted eigenvector centrality by power iteration on (A + I).
 
     Start from 1/n everywhere, each step x <- (A + I) x normalised to unit L2
@@ -93,44 +99,47 @@ def eigenvector_centrality(edge_df: DataFrame, *, max_iter: int = 100, tol: floa
     gives an empty frame; no convergence within ``max_iter`` raises.
     Edges must be one row per undirected pair.
 
-    Each step is a reliable checkpoint (measured faster than persisting and
-    checkpointing every few steps, and a lost executor never recomputes more
-    than one step). One one-row action per step brings the new norm and the
-    previous step's change to the driver together: the stop is detected one
+    The adjacency is written once, bucketed by ``src`` on the shared folder, so a step moves
+    only the vector to it and the partial sums from it. Each step is a reliable checkpoint
+    (a lost executor never recomputes more than one step). One one-row action per step brings
+    the new norm and the previous step's change to the driver together: the stop is detected one
     step late and the previous iterate, still held in the step's rows, is
     returned, so the result is exactly the iterate the stopping rule picks.
     """
     spark = edge_df.sparkSession
-    checkpoint_dir(spark)
-    sym = _symmetric(edge_df).withColumn("ident", F.lit(False)).checkpoint()
-    nodes = sym.select(F.col("src").alias("id")).distinct().checkpoint()
+    # (A + I): the identity enters as one marked self-row per vertex, so a step is
+    # a single join + aggregate, and the same aggregate carries the previous values
+    sym = checkpointed(_symmetric(edge_df).withColumn("ident", F.lit(False)))
+    nodes = checkpointed(sym.select(F.col("src").alias("id")).distinct())
     n = nodes.count()
     if n == 0:
         return _empty_scores(spark)
-    # (A + I): the identity enters as one marked self-row per vertex, so a step is
-    # a single join + aggregate, and the same aggregate carries the previous values
     ident = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"),
                          F.lit(True).alias("ident"))
-    adj = sym.unionByName(ident).repartition("src").checkpoint()
-    small = n <= broadcast_max_nodes
-    x = nodes.select("id", F.lit(1.0 / n).alias("x"), F.lit(None).cast("double").alias("x_prev"))
-    for i in range(1, max_iter + 2):
-        xs = F.broadcast(x) if small else x
-        own = F.col("ident")
-        y = (adj.join(xs, adj.src == xs.id)
-             .groupBy(F.col("dst").alias("id"))
-             .agg(F.sum(F.col("w") * F.col("x")).alias("y"),
-                  F.max(F.when(own, F.col("x"))).alias("x_prev"),
-                  F.max(F.when(own, F.col("x_prev"))).alias("x_prev2"))
-             .checkpoint())
-        row = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"),
-                    F.sum(F.abs(F.col("x_prev") - F.col("x_prev2"))).alias("delta")).first()
-        if i >= 2 and row["delta"] is not None and row["delta"] < n * tol:
-            return y.select("id", F.col("x_prev").alias("score"))
-        if i > max_iter:
-            break
-        x = y.select("id", (F.col("y") / F.lit(row["norm"] or 1.0)).alias("x"), "x_prev")
-    raise ConvergenceError(f"power iteration did not converge in {max_iter} steps")
+    path = staging_path(spark, "adjacency")
+    table = f"adjacency_{path.rsplit('-', 1)[-1]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (sym.unionByName(ident).repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src")
+     .option("path", path).saveAsTable(table))
+    try:
+        adj = spark.table(table)
+        x = nodes.select("id", F.lit(1.0 / n).alias("x"), F.lit(None).cast("double").alias("x_prev"))
+        for i in range(1, max_iter + 2):
+            own = F.col("ident")
+            y = checkpointed(adj.join(x, adj.src == x.id)
+                             .groupBy(F.col("dst").alias("id"))
+                             .agg(F.sum(F.col("w") * F.col("x")).alias("y"),
+                                  F.max(F.when(own, F.col("x"))).alias("x_prev"),
+                                  F.max(F.when(own, F.col("x_prev"))).alias("x_prev2")))
+            row = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"),
+                        F.sum(F.abs(F.col("x_prev") - F.col("x_prev2"))).alias("delta")).first()
+            if i >= 2 and row["delta"] is not None and row["delta"] < n * tol:
+                return y.select("id", F.col("x_prev").alias("score"))
+            x = y.select("id", (F.col("y") / F.lit(row["norm"] or 1.0)).alias("x"), "x_prev")
+        raise ConvergenceError(f"power iteration did not converge in {max_iter} steps")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete_path(spark, path)
 
 
 def top_nodes(scores: DataFrame, *, k: int = 100) -> DataFrame:
@@ -153,28 +162,32 @@ def _undirected(edge_df: DataFrame) -> DataFrame:
             .where(F.col("src") != F.col("dst")).distinct())
 
 
-def _large_star(e: DataFrame, small: bool) -> DataFrame:
+def _large_star(e: DataFrame) -> DataFrame:
     """Every neighbour larger than u is linked to the smallest id around u (u included)."""
     both = e.select(F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")),
                                       F.struct(F.col("dst").alias("u"), F.col("src").alias("v"))))
                     .alias("p")).select("p.*")
     low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return (both.join(F.broadcast(low) if small else low, "u").where(F.col("v") > F.col("u"))
+    return (both.join(low, "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct())
 
 
-def _small_star(e: DataFrame, small: bool) -> DataFrame:
+def _small_star(e: DataFrame) -> DataFrame:
     """u and its smaller neighbours are all linked to the smallest of them."""
     low = e.groupBy("src").agg(F.min("dst").alias("m"))      # rows are (larger, smaller)
-    spokes = (e.join(F.broadcast(low) if small else low, "src")
+    spokes = (e.join(low, "src")
               .select(F.col("dst").alias("src"), F.col("m").alias("dst")))
     centre = low.select("src", F.col("m").alias("dst"))
     return (spokes.unionByName(centre).where(F.col("src") != F.col("dst"))
             .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
 
 
-def connected_components(vertex_df: DataFrame, edge_df: DataFrame, *,
-                         broadcast_max_nodes: int = BROADCAST_MAX_NODES) -> DataFrame:
+def _edge_checksum(e: DataFrame) -> tuple:
+    """Count and an order-free checksum of an edge set, from one aggregate."""
+    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+
+
+def connected_components(vertex_df: DataFrame, edge_df: DataFrame) -> DataFrame:
     """Component label (the smallest member id) of every vertex.
 
     Alternating large-star / small-star rounds (Kiveris et al., "Connected
@@ -183,37 +196,34 @@ def connected_components(vertex_df: DataFrame, edge_df: DataFrame, *,
     stops changing exactly when every component is a star around its
     smallest id; the number of rounds is O(log^2 n), so long paths do not
     need one round per hop. Every round is one reliable checkpoint and one
-    one-row action (the size of the change). A vertex without edges is its
-    own component. The per-vertex minimum frames are broadcast into the
-    round's joins only when the counted number of vertices is at most
-    ``broadcast_max_nodes``; above that the joins shuffle (and AQE splits the
-    partition of a star centre, which collects one edge per member).
+    one-row action: a count and checksum of the edges tells whether they changed. A vertex
+    without edges is its own component. How the per-vertex minimum is joined is left to Spark.
     """
-    spark = vertex_df.sparkSession
-    checkpoint_dir(spark)
-    e = _undirected(edge_df).checkpoint()
-    small = vertex_df.count() <= broadcast_max_nodes
+    e = checkpointed(_undirected(edge_df))
+    seen = _edge_checksum(e)
     while True:
-        nxt = _small_star(_large_star(e, small), small).checkpoint()
-        # edges present on one side only of a full outer join are the change
-        changed = (nxt.withColumn("_n", F.lit(1)).join(e.withColumn("_o", F.lit(1)), ["src", "dst"], "full_outer")
-                   .where(F.col("_n").isNull() | F.col("_o").isNull()).count())
-        e = nxt
-        if changed == 0:
+        e = checkpointed(_small_star(_large_star(e)))
+        last, seen = seen, _edge_checksum(e)
+        if seen == last:
             break
     centre = e.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("c"))
-    return (vertex_df.select("id").join(F.broadcast(centre) if small else centre, "id", "left")
+    return (vertex_df.select("id").join(centre, "id", "left")
             .select("id", F.coalesce(F.col("c"), F.col("id")).alias("component")))
 
 
 def largest_component(vertex_df: DataFrame, edge_df: DataFrame) -> DataFrame:
     """Members (``id``) of the largest component; a size tie goes to the smallest label."""
-    comps = connected_components(vertex_df, edge_df)
+    comps = checkpointed(connected_components(vertex_df, edge_df))
     best = (comps.groupBy("component").count()
             .orderBy(F.col("count").desc(), F.col("component")).limit(1).select("component"))
     return comps.join(F.broadcast(best), "component", "left_semi").select("id")
 
 
+def component_edges(vertex_df: DataFrame, edge_df: DataFrame) -> DataFrame:
+    """The largest component as a graph: its edges."""
+    return induced(edge_df, checkpointed(largest_component(vertex_df, edge_df)))
+
+
 def node_profile(nodes: DataFrame, scores: DataFrame, sales: DataFrame, *,
                  item: str = "family", value: str = "sales") -> DataFrame:
     """Per node: total sales of that category (0 when it has none) and its centrality.

@@ -133,14 +133,28 @@ def high_risk_orders(sales: DataFrame, *, max_sales: float = 10, max_transaction
     return agg.orderBy("sales", "transactions", "store_nbr", item).limit(k)
 
 
-def kpis(sales: DataFrame, monthly: DataFrame) -> DataFrame:
+def kpis(sales: DataFrame, monthly: DataFrame | None = None, *, item: str = "family") -> DataFrame:
     """One row of headline figures.
 
+    Without ``monthly`` (already made monthly totals) the facts are read once: the monthly groups
+    carry the record counts too.
+
     total_sales      sum of the (rounded, positive) monthly group totals
     avg_group_sales  mean of those monthly (year, month, store, category) totals
     n_records        rows with a transaction value (a count, not a sum)
     period           'first year-last year' of the monthly data
     """
+    if monthly is None:
+        ds = F.trunc("date", "month")
+        groups = sales.groupBy(ds.alias("ds"), "store_nbr", item).agg(
+            money_round(F.sum("sales"), 2).alias("s"), F.count("transactions").alias("n"))
+        counted = F.col("ds").isNotNull() & (F.col("s") > 0)
+        year = F.when(counted, F.year("ds"))
+        total = F.when(counted, F.col("s"))
+        return groups.agg(
+            money_round(F.sum(total), 2).alias("total_sales"), money_round(F.avg(total), 2).alias("avg_group_sales"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"),
+            F.concat_ws("-", F.min(year).cast("string"), F.max(year).cast("string")).alias("period"))
     n_records = sales.select(F.count("transactions")).scalar()
     return monthly.agg(
         money_round(F.sum("total_sales"), 2).alias("total_sales"),

@@ -36,6 +36,26 @@ def welch_ttest(df: DataFrame, pair: DataFrame, *, group: str = "city", value: s
                .agg(F.count(value).alias("n"), F.avg(value).alias("m"),
                     F.var_samp(value).alias("v")))
 
+    return _welch(moments, group, decimals)
+
+
+def welch_ttest_top(df: DataFrame, *, group: str = "city", value: str = "sales",
+                    decimals: int | None = None) -> DataFrame:
+    """``welch_ttest`` between the two groups with the largest rounded totals, in one pass over the facts.
+
+    One aggregate per group gives the total and the moments; the two rows with the largest
+    totals (ties by name) are the pair.
+    """
+    total = df.where(F.col(group).isNotNull()).groupBy(group).agg(
+        money_round(F.sum(value), 2).alias("_total"), F.count(value).alias("n"), F.avg(value).alias("m"),
+        F.var_samp(value).alias("v"))
+    order = (F.col("_total").desc(), F.col(group))
+    pair = total.orderBy(*order).limit(2)
+    return _welch(pair.withColumn("rank", F.row_number().over(Window.orderBy(*order))), group, decimals)
+
+
+def _welch(moments: DataFrame, group: str, decimals: int | None) -> DataFrame:
+    """The test from one row of moments (n, m, v) for each of the ranks 1 and 2."""
     def pick(r: int, c: str):
         return F.max(F.when(F.col("rank") == r, F.col(c)))
 

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from tillsight.functions.formatting import format_report
 from tillsight.operators import cleaning, diagnostics, graph, reports, stats, timeseries
 from tillsight.operators import forecast as fc
-from tillsight.session import delete_path, staging_path
-from tillsight.sinks import chart_series, summary, write_chart_series, write_reports
+from tillsight.session import checkpointed, delete_path, staging_path
+from tillsight.sinks import chart_series, read_reports, summary, write_chart_series, write_reports
 
 
 @dataclass
@@ -89,12 +89,20 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
     ``parallel`` driver threads: the boosted-tree fit is a long chain of tiny
     jobs on the month-grain frame and would otherwise leave the executors
     idle. ``parallel=1`` runs everything in order. The staged typed, clean
-    and monthly tables (together about twice the input) are deleted once
-    every output is written, unless ``keep_stages``.
+    and monthly tables (together about twice the input) are deleted at the end, also after a
+    failure, unless ``keep_stages``. Display tables are formatted from the written numeric tables.
     """
-    p = params or ReportParams()
-    out = out_dir.rstrip("/")
     staged: list[str] = []
+    try:
+        return _run(spark, raw, out_dir.rstrip("/"), params or ReportParams(), parallel, staged)
+    finally:
+        if not keep_stages:
+            for path in staged:
+                delete_path(spark, path)
+
+
+def _run(spark: SparkSession, raw: DataFrame, out: str, p: ReportParams, parallel: int,
+         staged: list[str]) -> dict[str, str]:
 
     typed = stage(cleaning.cast_sales(cleaning.drop_nulls(raw), date_format=p.date_format), "typed", staged)
     invalid = diagnostics.invalid_counts(typed)
@@ -103,7 +111,8 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
     monthly = stage(timeseries.monthly_sales(sales), "monthly", staged)
     series = timeseries.monthly_series(monthly, mode=p.series_mode)
     split = timeseries.chrono_split(timeseries.drop_upper_outliers(series, q=p.outlier_q),
-                                    frac=p.train_frac).checkpoint()
+                                    frac=p.train_frac)
+    split = checkpointed(split)
 
     totals = reports.city_totals(sales, place=p.place)
     tables = {
@@ -115,8 +124,8 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
         "high_risk_orders": reports.high_risk_orders(sales, max_sales=p.risk_max_sales,
                                                      max_transactions=p.risk_max_transactions, k=p.risk_k),
     }
-    for name in list(tables):
-        tables[f"{name}_display"] = format_report(tables[name], name)
+    displayed = list(tables)
+    tables["diag_post_clean"] = diagnostics.invalid_counts(sales)
     tables["city_totals"] = totals
     tables["city_growth_filtered"] = reports.city_growth_for(sales, choices=p.city_choices, place=p.place)
     corr = timeseries.correlation_matrix(monthly)
@@ -135,27 +144,32 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
         model = fc.fit_forecast(split.where(F.col("split") == "train"), trees=p.trees, rate=p.rate,
                                 depth=p.depth, seed=p.seed)
         fc.save_model(model, f"{out}/model")
-        predictions = fc.predict(model, split).checkpoint()
+        predictions = checkpointed(fc.predict(model, split))
         return {"forecast_predictions": predictions,
-                "forecast_metrics": stats.regression_metrics(predictions).checkpoint()}
+                "forecast_metrics": checkpointed(stats.regression_metrics(predictions))}
 
     def graph_branch() -> dict[str, DataFrame]:
-        pairs = graph.copurchase_pairs(sales).checkpoint()
-        edge_df = graph.edges(pairs, min_weight=_threshold(pairs, p.edge_min_weight)).checkpoint()
-        scores = graph.eigenvector_centrality(edge_df).checkpoint()
-        top = graph.top_nodes(scores, k=p.top_nodes).checkpoint()
-        sub = graph.induced(edge_df, top)
-        comp_nodes = graph.largest_component(graph.vertices(sub), sub)
+        pairs = checkpointed(graph.copurchase_pairs(sales))
+        edge_df = checkpointed(graph.edges(pairs, min_weight=_threshold(pairs, p.edge_min_weight)))
+        scores = checkpointed(graph.eigenvector_centrality(edge_df))
+        top = checkpointed(graph.top_nodes(scores, k=p.top_nodes))
+        sub = checkpointed(graph.induced(edge_df, top))
+        comp_nodes = checkpointed(graph.largest_component(graph.vertices(sub), sub))
         return {"graph_edges": edge_df, "graph_top_nodes": top,
+                "graph_component_edges": graph.induced(sub, comp_nodes),
                 "graph_node_profile": graph.node_profile(comp_nodes, scores, sales)}
 
     def write(name: str, df: DataFrame) -> dict[str, str]:
-        return write_reports({name: df}, f"{out}/tables", fmt=p.fmt, parallel=1)
+        done = write_reports({name: df}, f"{out}/tables", fmt=p.fmt, parallel=1)
+        if name in displayed:     # formatted from what was written, not computed again
+            shown = format_report(read_reports(spark, done, fmt=p.fmt, schemas={name: df.schema})[name], name)
+            done |= write_reports({f"{name}_display": shown}, f"{out}/tables", fmt=p.fmt, parallel=1)
+        return done
 
     paths: dict[str, str] = {}
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         branches = [pool.submit(forecast_branch), pool.submit(graph_branch)]
-        done_shared = {name: pool.submit(df.checkpoint) for name, df in shared.items()}
+        done_shared = {name: pool.submit(checkpointed, df) for name, df in shared.items()}
         writes = [pool.submit(write, name, df) for name, df in tables.items()]
         results: dict[str, DataFrame] = {name: fut.result() for name, fut in done_shared.items()}
         writes += [pool.submit(write, name, df) for name, df in results.items()]
@@ -176,7 +190,4 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
         for fut in writes:
             paths.update(fut.result())
     paths["model"] = f"{out}/model"
-    if not keep_stages:
-        for path in staged:
-            delete_path(spark, path)
     return paths

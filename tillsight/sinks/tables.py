@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_reports(tables: dict[str, DataFrame], out_dir: str, *, fmt: str = "parquet",
@@ -30,11 +31,18 @@ def write_reports(tables: dict[str, DataFrame], out_dir: str, *, fmt: str = "par
         return dict(f.result() for f in [pool.submit(one, n, df) for n, df in tables.items()])
 
 
-def read_reports(spark: SparkSession, paths: dict[str, str], *, fmt: str = "parquet") -> dict[str, DataFrame]:
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
-    return {name: reader.load(path) for name, path in paths.items()}
+def read_reports(spark: SparkSession, paths: dict[str, str], *, fmt: str = "parquet",
+                 schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
+    """The written tables; ``schemas`` gives the types of a format that does not store them."""
+    out = {}
+    for name, path in paths.items():
+        reader = spark.read.format(fmt)
+        if fmt == "csv":
+            reader = reader.option("header", "true")
+        if schemas and name in schemas:
+            reader = reader.schema(schemas[name])
+        out[name] = reader.load(path)
+    return out
 
 
 def report_manifest(spark: SparkSession, paths: dict[str, str], *, fmt: str = "parquet") -> DataFrame:

@@ -34,33 +34,47 @@ def _store_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("s_suppkey"), F.col("n_name")))
 
 
-def _joined(spark: SparkSession, sf_dir: str, extra_cols: tuple[str, ...] = ()) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-        "l_discount", "l_shipdate", *extra_cols)
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    stores = _store_cities(spark, sf_dir)
-    return (li.join(part, li.l_partkey == part.p_partkey)
-            .join(stores, li.l_suppkey == stores.s_suppkey))
-
-
-def sales_from_star(spark: SparkSession, sf_dir: str, *, with_customer: bool = False) -> DataFrame:
-    """Typed, clean sales facts (store_nbr BIGINT, date DATE, amounts DOUBLE)."""
-    j = _joined(spark, sf_dir)
-    cols = [
-        F.col("l_suppkey").alias("store_nbr"),
-        F.col("p_brand").alias("family"),
-        F.col("n_name").alias("city"),
-        F.col("l_shipdate").cast("date").alias("date"),
-        F.col("l_extendedprice").alias("sales"),
-        F.col("l_quantity").cast("int").alias("transactions"),
-        F.round(F.col("l_discount") * 1000).alias("onpromotion"),
-    ]
-    if with_customer:
+def _joined(spark: SparkSession, sf_dir: str, wanted: frozenset[str]) -> DataFrame:
+    """lineitem with the dimensions that ``wanted`` columns need, and no other.
+
+    Every l_partkey, l_suppkey and l_orderkey has its dimension row (foreign keys), so
+    leaving out an unneeded join does not change the rows.
+    """
+    j = read_table(spark, sf_dir, "lineitem")
+    if "family" in wanted:
+        part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+        j = j.join(part, j.l_partkey == part.p_partkey)
+    if "city" in wanted:
+        stores = _store_cities(spark, sf_dir)
+        j = j.join(stores, j.l_suppkey == stores.s_suppkey)
+    if "customer" in wanted:
         orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
         j = j.join(orders, j.l_orderkey == orders.o_orderkey)
-        cols.append(F.col("o_custkey").alias("customer"))
-    return j.select(cols)
+    return j
+
+
+SALES_COLUMNS = ("store_nbr", "family", "city", "date", "sales", "transactions", "onpromotion")
+
+
+def sales_from_star(spark: SparkSession, sf_dir: str, *, columns: tuple[str, ...] = SALES_COLUMNS,
+                    with_customer: bool = False) -> DataFrame:
+    """Typed, clean sales facts (store_nbr BIGINT, date DATE, amounts DOUBLE).
+
+    ``columns`` names what is wanted: only the dimensions behind it are joined.
+    """
+    made = {
+        "store_nbr": F.col("l_suppkey"),
+        "family": F.col("p_brand"),
+        "city": F.col("n_name"),
+        "date": F.col("l_shipdate").cast("date"),
+        "sales": F.col("l_extendedprice"),
+        "transactions": F.col("l_quantity").cast("int"),
+        "onpromotion": F.round(F.col("l_discount") * 1000),
+        "customer": F.col("o_custkey"),
+    }
+    columns = (*columns, "customer") if with_customer and "customer" not in columns else columns
+    j = _joined(spark, sf_dir, frozenset(columns))
+    return j.select([made[c].alias(c) for c in columns])
 
 
 # Deterministic defects injected into the raw rows so that the
@@ -71,11 +85,13 @@ def sales_from_star(spark: SparkSession, sf_dir: str, *, with_customer: bool = F
 #   transactions '0'            where l_orderkey % 83 = 0
 #   sales        negated        where l_orderkey % 79 = 0
 #   sales        'n/a'          where l_orderkey % 73 = 0
+#   sales        'Infinity'     where l_orderkey % 67 = 0
+#   sales        '1e400'        where l_orderkey % 61 = 0
 #   date         '13/45/2014'   where l_orderkey % 71 = 0
 #   exact copies of the rows    where l_orderkey % 50 = 0 are appended
 DEFECT_RULES = {
     "null_city": 97, "zero_sales": 89, "zero_transactions": 83,
-    "negative_sales": 79, "malformed_sales": 73, "malformed_date": 71,
+    "negative_sales": 79, "malformed_sales": 73, "infinite_sales": 67, "huge_sales": 61, "malformed_date": 71,
     "duplicate": 50,
 }
 
@@ -87,10 +103,12 @@ def raw_sales_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     and append copies of others, so the whole table flows through cleaning.
     """
     r = DEFECT_RULES
-    j = _joined(spark, sf_dir)
+    j = _joined(spark, sf_dir, frozenset({"family", "city"}))
     k = F.col("l_orderkey")
     price_text = F.format_string("%.2f", F.col("l_extendedprice"))
-    sales_text = (F.when(k % r["malformed_sales"] == 0, F.lit("n/a"))
+    sales_text = (F.when(k % r["huge_sales"] == 0, F.lit("1e400"))
+                  .when(k % r["infinite_sales"] == 0, F.lit("Infinity"))
+                  .when(k % r["malformed_sales"] == 0, F.lit("n/a"))
                   .when(k % r["negative_sales"] == 0,
                         F.format_string("%.2f", -F.col("l_extendedprice")))
                   .when(k % r["zero_sales"] == 0, F.lit("0"))
