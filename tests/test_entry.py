@@ -29,7 +29,7 @@ def test_all_survey_keys_registered():
     q = entry.queries()
     assert set(SURVEY_KEYS) <= set(q)
     assert set(entry.oracle_sql()) <= set(q)
-    assert set(SURVEY_KEYS) - set(entry.oracle_sql()) <= {"forecast_predict"}
+    assert set(SURVEY_KEYS) <= set(entry.oracle_sql())
 
 
 def test_oracles_match_on_smoke_data():
@@ -57,3 +57,18 @@ def test_udf_runs_without_package_on_executors(tmp_path):
     out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env,
                          capture_output=True, text=True, timeout=600)
     assert "ROWS 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_graph_query_runs_first_in_a_session_without_checkpoint_dir(tmp_path):
+    # a plain session of a fresh process: nothing has set a checkpoint folder before the query
+    script = tmp_path / "fresh.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.insert(0, {ROOT!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = (SparkSession.builder.master('local[4]').config('spark.ui.enabled', 'false')\n"
+        "         .config('spark.checkpoint.dir', '').config('spark.sql.shuffle.partitions', '4').getOrCreate())\n"
+        "import __spark_entry__ as E\n"
+        f"print('ROWS', E.queries()['graph_components'](spark, {SF_SMOKE!r}).count())\n")
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
