@@ -67,8 +67,11 @@ def test_graph_query_runs_first_in_a_session_without_checkpoint_dir(tmp_path):
         f"sys.path.insert(0, {ROOT!r})\n"
         "from pyspark.sql import SparkSession\n"
         "spark = (SparkSession.builder.master('local[4]').config('spark.ui.enabled', 'false')\n"
-        "         .config('spark.checkpoint.dir', '').config('spark.sql.shuffle.partitions', '4').getOrCreate())\n"
+        "         .config('spark.sql.shuffle.partitions', '4').getOrCreate())\n"
+        "assert spark.conf.get('spark.checkpoint.dir', None) is None\n"
         "import __spark_entry__ as E\n"
         f"print('ROWS', E.queries()['graph_components'](spark, {SF_SMOKE!r}).count())\n")
-    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    (tmp_path / "conf").mkdir()
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True, timeout=600,
+                         env=os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf")})
     assert "ROWS" in out.stdout, out.stderr[-2000:]
