@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import stage
 
 #: Canonical rewriting, applied in this order (pattern, replacement).
-COPYRIGHT_LINE = r"(?m)^[^\n]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|holder|author|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = (r"(?m)^[^\p{L}\n(©]*(?:copyright\b|\(c\)|©)[^\n]*(?:[0-9]{4}|<year>|all rights reserved)[^\n]*$"
+                  r"|^[^\p{L}\n]*all rights reserved[^\p{L}\n]*$")
 SPELLINGS = (
     (r"licence", "license"), (r"sub-license", "sublicense"), (r"non-commercial", "noncommercial"),
     (r"favour", "favor"), (r"organis", "organiz"), (r"utilis", "utiliz"), (r"authoris", "authoriz"),

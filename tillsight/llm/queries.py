@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import PIECE_MODEL, documents, id_bucket, labels
 from tillsight.llm.exact_dedup import exact_copies
 from tillsight.llm.language import fit_languages, predict_languages
-from tillsight.llm.licenses import scan_licenses
+from tillsight.llm.licenses import NOTICES, TEXTS, scan_licenses
 from tillsight.llm.mixing import mix
 from tillsight.llm.near_dedup import NearParams, near_copies
 from tillsight.llm.pieces import encode_texts, model_bytes
@@ -136,7 +136,42 @@ SELECT doc_id, source, size, source_size, target, certain + more + last::INT AS
 FROM l
 """
 
+
+def _canonical(x: str) -> str:
+    """The canonical form of ``tillsight.llm.licenses`` in DuckDB SQL, stated on its own."""
+    steps = [
+        (r"(?m)^[^\p{L}\n(©]*(?:copyright\b|\(c\)|©)[^\n]*(?:[0-9]{4}|<year>|all rights reserved)[^\n]*$"
+         r"|^[^\p{L}\n]*all rights reserved[^\p{L}\n]*$", " "),
+        ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("favour", "favor"),
+        ("organis", "organiz"), ("utilis", "utiliz"), ("authoris", "authoriz"), ("https://", "http://"), ("&", " and "),
+        ("version ([0-9])", r"v\1"), (r"v([0-9])\.0\b", r"v\1"), (r"[^\p{L}\p{N}]+", " ")]
+    out = f"lower(coalesce({x}, ''))"
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return f"trim({out})"
+
+
+def _known(texts: dict) -> str:
+    rows = [(name, t) for name, many in texts.items() for t in ((many,) if isinstance(many, str) else many)]
+    values = ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, t in rows)
+    return (f"SELECT digest, min(license) AS license FROM (SELECT license, sha256({_canonical('body')}) AS digest "
+            f"FROM (VALUES {values}) AS v(license, body)) GROUP BY digest")
+
+
+_OP10 = f"""
+WITH whole AS ({_known(TEXTS)}), notice AS ({_known(NOTICES)}),
+d AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
+line AS (SELECT DISTINCT rn, sha256({_canonical('l')}) AS digest
+         FROM (SELECT rn, unnest(string_split(text, chr(10))) AS l FROM d) WHERE length(trim(l)) > 0),
+found AS (SELECT rn, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+          FROM line JOIN notice USING (digest) GROUP BY rn),
+t AS (SELECT rn, doc_id, sha256({_canonical('text')}) AS text_digest FROM d)
+SELECT doc_id, text_digest, license, coalesce(notices, '') AS notices
+FROM t LEFT JOIN whole ON text_digest = whole.digest LEFT JOIN found USING (rn)
+"""
+
 ORACLES = {
     "op4_mix_sources": _OP4,
+    "op10_license_scan": _OP10,
     "op3_exact_dedup": _OP3,
 }
