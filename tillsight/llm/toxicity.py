@@ -96,12 +96,14 @@ def text_features(texts: pd.Series) -> pd.Series:
     return pd.Series([sorted({k for w in set(letter_runs(t or "")) for k in kinds(w)}) for t in texts], dtype=object)
 
 
-def associated(rows: DataFrame, keep: int) -> list[str]:
+def associated(rows: DataFrame, keep: int, least: float) -> list[str]:
     """Features that mark class 1 (at most ``keep``): rows hold ``features`` and ``p``, the label or posterior.
 
-    A feature counts when at least 7 of 10 of its documents are of class 1 and the likelihood ratio against
-    the base rate exceeds what the best of so many features reaches by chance.
+    A feature counts when a share of ``least`` of its documents is of class 1 and the likelihood ratio against
+    the base rate exceeds what the best of so many features reaches by chance. Rows with equal features (copies
+    of one text) count once, or a copied toxic text would make all of its words suspect.
     """
+    rows = rows.groupBy("features").agg(F.avg("p").alias("p"))
     base = rows.agg(F.sum("p").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not base["n"] or not base["t"]:
         return []
@@ -112,7 +114,7 @@ def associated(rows: DataFrame, keep: int) -> list[str]:
     rate = F.col("t") / F.col("n")
     ratio = (F.col("t") * F.log(rate / F.lit(share))
              + F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((1 - rate) / F.lit(1 - share))).otherwise(0.0))
-    best = (counted.where(rate >= 0.7).withColumn("ratio", ratio).where(F.col("ratio") >= needed)
+    best = (counted.where(rate >= least).withColumn("ratio", ratio).where(F.col("ratio") >= needed)
             .orderBy(F.col("ratio").desc(), "feature").limit(keep))
     return [r["feature"] for r in best.collect()]                                # at most ``keep`` rows
 
@@ -157,7 +159,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, *, text: str = "text", do
     chosen = F.broadcast(usable.where(dice < share).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("p")))
     sample = stage(docs.join(chosen, F.col(doc_id) == F.col("_id"))
                    .select("p", F.col(text).alias("text"), text_features(F.col(text)).alias("features")), "toxic-sample")
-    lexicon = Lexicon(frozenset(associated(sample, max_lexicon)))
+    lexicon = Lexicon(frozenset(associated(sample, max_lexicon, 0.95)))
     vote = _vote_udf(lexicon)
     histogram = docs.select(vote(F.col(text)).alias("votes")).groupBy("votes").count().collect()  # <= 3 ** voters rows
     patterns = np.array([r["votes"] for r in histogram], dtype=np.int64).reshape(-1, len(VOTERS))
@@ -176,7 +178,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, *, text: str = "text", do
                        F.lit(bias), lambda a, b: a + b)
     judged = stage(sample.select(names.alias("names"), "features")
                    .select("names", "features", (F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).alias("p")), "toxic-posterior")
-    vocabulary = [*weights, *associated(judged, max_features)]
+    vocabulary = [*weights, *associated(judged, max_features, 0.9)]
     counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="all", outputCol="x")
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), F.col("p").alias("w")),
                               F.struct(F.lit(0.0).alias("y"), (F.lit(1.0) - F.col("p")).alias("w"))))
