@@ -17,14 +17,14 @@ from tillsight.llm.exact_dedup import drop_copies
 from tillsight.llm.mixing import mix_rows
 from tillsight.llm.near_dedup import NearParams, drop_near_copies
 from tillsight.llm.pieces import encode_texts, model_bytes
-from tillsight.llm.quality import quality_verdicts
+from tillsight.llm.quality import good_rows
 
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_verdicts(docs).where("kept").select(*docs.columns)
+    return good_rows(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,6 +167,8 @@ def test_pipeline_stages_on_edges(spark, edge, empty):
             assert n <= 2 * N_EDGE if docs is edge else n == 0
             if name != "encode_pieces":
                 assert out.columns == docs.columns
+                clash = out.select("kept", "score", "size", "row", "node", "ids", "input", "n_words", "bucket").distinct()
+                assert all(tuple(r) == ("k", "0.5", "9", "r", "n", "ids", "in", "7", "b") for r in clash.collect())
 
 
 def test_executors_need_no_package(tmp_path):

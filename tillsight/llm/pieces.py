@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillsight.llm.common import bound_batches
+from tillsight.llm.common import bound_batches, free_name
 
 BLANK = "▁"
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -340,7 +340,7 @@ def encode_texts(docs: DataFrame, model: bytes, *, text: str = "text", keep: lis
         pieces = load_pieces(shared.value)
         encode, decode = Encoder(pieces), Decoder(pieces)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             ids, counts = encode(texts)
             back = decode(ids, counts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
@@ -349,7 +349,7 @@ def encode_texts(docs: DataFrame, model: bytes, *, text: str = "text", keep: lis
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists, pa.array(counts, pa.int64()), same],
                                              names=[*batch.schema.names[:-1], *made])
 
-    out = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"))
+    out = docs.select(*[F.col(c) for c in keep], F.col(text).alias(free_name(docs, "whole_text")))
     schema = T.StructType([*out.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("n_ids", T.LongType()), T.StructField("round_trip", T.BooleanType())])
     return out.mapInArrow(work, schema)

@@ -12,8 +12,8 @@ The posterior is then a sum of one weight per vote: a plain column expression.
 
 Defined results: a null or empty text has no words and fails the base rules;
 repeated rows get the same verdict each; an empty table gives an empty result;
-ties at the threshold are kept; columns of the input that clash with the names
-made here are replaced by the new ones.
+ties at the threshold are kept; in the verdicts, columns of the input that clash with the names
+made here are replaced by the new ones, while ``good_rows`` returns all input columns unchanged.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tillsight.llm.common import bound_batches, stage
+from tillsight.llm.common import bound_batches, free_name, stage
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "n_lines", "n_caps", "n_marks", "n_distinct", "n_other")
@@ -180,8 +180,9 @@ def quality_verdicts(docs: DataFrame, *, text: str = "text", carry: list[str] |
     bound_batches(docs.sparkSession)
     made = {*MEASURES, *(f"vote_{r.name}" for r in rules), "p_good", "base_failed", "kept"}
     carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
-    measured = (docs.select(*[F.col(c) for c in carry], measure(F.col(text)).alias("_measures"))
-                .select(*carry, "_measures.*"))
+    found = free_name(docs, "measures")
+    measured = (docs.select(*[F.col(c) for c in carry], measure(F.col(text)).alias(found))
+                .select(*carry, f"{found}.*"))
     voted = stage(measured.select("*", *votes(rules)), "quality")
     names = [f"vote_{r.name}" for r in rules]
     histogram = voted.groupBy(*names).count().collect()           # at most 3 ** len(rules) rows
@@ -191,3 +192,11 @@ def quality_verdicts(docs: DataFrame, *, text: str = "text", carry: list[str] |
             | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")))
     return (voted.withColumn("p_good", _posterior(model, rules)).withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)))
+
+
+def good_rows(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES,
+              threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("input"), F.col(text).alias("text"))
+    return (quality_verdicts(rows, carry=["input"], rules=rules, threshold=threshold)
+            .where("kept").select("input.*"))

@@ -157,8 +157,9 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, *, text: str = "text", do
     share = min(1.0, max_rows / max(usable.count(), 1))
     # about max_rows short rows, so the broadcast is bounded
     chosen = F.broadcast(usable.where(dice < share).select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("p")))
-    sample = stage(docs.join(chosen, F.col(doc_id) == F.col("_id"))
-                   .select("p", F.col(text).alias("text"), text_features(F.col(text)).alias("features")), "toxic-sample")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    sample = stage(texts.join(chosen, F.col("id") == F.col("_id"))
+                   .select("p", "text", text_features("text").alias("features")), "toxic-sample")
     lexicon = Lexicon(frozenset(associated(sample, max_lexicon, 0.95)))
     vote = _vote_udf(lexicon)
     histogram = docs.select(vote(F.col(text)).alias("votes")).groupBy("votes").count().collect()  # <= 3 ** voters rows
