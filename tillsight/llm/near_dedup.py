@@ -8,13 +8,14 @@
    (so short texts band like long ones), and every band of ``rows`` registers
    becomes one key. Classes that share a key are candidates: a pair of similarity
    0.8 misses all 40 bands of 5 with probability 1.2e-7.
-3. Every member of a key is compared with the key's smallest class. Pairs whose
-   collision-corrected estimate lies 5.5 standard deviations below the threshold
-   go; the others are confirmed on their full shingle sets.
+3. Every member of a key is compared with two centres of the key (the classes first and last
+   in an order of the key's own, so the keys of a large group have different centres). Pairs
+   whose collision-corrected estimate lies 5.5 standard deviations below the threshold go; the
+   others are confirmed on their full shingle sets.
 4. Links give components. Only keys that still hold more than one component apart
-   from their smallest class are compared further, in blocks of sketches inside
-   tasks, between different components only: no pair list of a group is ever
-   written, and nothing is capped.
+   from their centres are compared further, in blocks inside tasks: sketches first, then the full
+   sets, between different components only and each pair in the first key it shares. A task writes
+   only the links that join components: no pair list of a group is ever made, and nothing is capped.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; fewer words than a shingle make one shingle of all words; equal sets are
@@ -44,7 +45,10 @@ EMPTY = np.uint16(0xFFFF)
 COLLISION = 2.0 ** -MANTISSA_BITS / 3
 #: Estimates this many standard deviations under the threshold are not verified.
 MARGIN = 5.5
-BLOCK = 256
+#: Room for what the correction takes off an exact estimate.
+SLACK = 0.01
+#: Most members of a block on average, and most shingles.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -167,10 +171,17 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (share - COLLISION) / (1 - COLLISION), used
 
 
-def may_link(a: np.ndarray, b: np.ndarray, params: NearParams) -> np.ndarray:
+def may_link(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, params: NearParams) -> np.ndarray:
+    """Whether a link is possible; ``sizes``: the two set sizes added up.
+
+    The buckets are a sample without replacement of the union, which has sizes / (1 + t) members at the
+    threshold t: small sets fill a bucket for almost each member, and their estimate is nearly exact.
+    """
     t = params.percent / 100
     guess, used = estimate(a, b)
-    return guess >= t - MARGIN * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+    union = np.maximum(sizes / (1 + t), 2)
+    left = np.clip((union - used) / (union - 1), 0, 1)
+    return guess >= t - SLACK - MARGIN * np.sqrt(t * (1 - t) / np.maximum(used, 1) * left)
 
 
 def _sizes_fit(a: str, b: str, params: NearParams):
@@ -180,77 +191,112 @@ def _sizes_fit(a: str, b: str, params: NearParams):
 def _estimated(pairs: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow a link."""
     @F.pandas_udf(T.BooleanType())
-    def possible(x: pd.Series, y: pd.Series) -> pd.Series:
+    def possible(x: pd.Series, y: pd.Series, sizes: pd.Series) -> pd.Series:
         a, b = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (x, y))
-        return pd.Series(may_link(a, b, params))
+        return pd.Series(may_link(a, b, sizes.to_numpy(), params))
     side = lambda n: classes.select(F.col("node").alias(n), F.col("n_shingles").alias(f"n_{n}"),
                                     F.col("sketch").alias(f"s_{n}"))
     return (pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit("n_a", "n_b", params))
-            .where(possible("s_a", "s_b")).select("a", "b"))
+            .where(possible("s_a", "s_b", F.col("n_a") + F.col("n_b"))).select("a", "b"))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, params: NearParams) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough. Texts move once, to make the sets of the candidates."""
-    pairs = stage(pairs, "candidates")
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-              .join(classes.select("node", "print", "key"), "node"))
+def _full_sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame, params: NearParams) -> DataFrame:
+    """``node``, ``set`` (sorted shingle hashes) of the classes in ``nodes``; texts move once."""
+    wanted = nodes.select("node").distinct().join(classes.select("node", "print", "key"), "node")
 
-    @F.pandas_udf(T.StructType([T.StructField("print", T.BinaryType()), T.StructField("set", T.BinaryType())]))
-    def full_set(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for texts in batches:
-            sets = [shingle_hashes(words_of(t), params.words, hashes) for t in texts]
-            yield pd.DataFrame({"print": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                                "set": [s.tobytes() for s in sets]})
+        for batch in batches:
+            sets = [shingle_hashes(words_of(t), params.words, hashes) for t in batch["text"]]
+            # a key may be shared by rows with other texts (repeated ids): the print decides
+            same = [xxhash.xxh3_128_digest(s.tobytes()) == p for s, p in zip(sets, batch["print"])]
+            yield pd.DataFrame({"node": batch["node"], "set": [s.tobytes() for s in sets]})[same]
+
+    return stage(rows.join(wanted.select("node", "print", "key"), "key").select("node", "print", "text")
+                 .mapInPandas(make, "node long, set binary").dropDuplicates(["node"]), "sets")
+
+
+def alike(a: np.ndarray, b: np.ndarray, params: NearParams) -> bool:
+    """Whether two full shingle sets are similar enough."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= params.percent * (len(a) + len(b) - both)
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, params: NearParams) -> DataFrame:
+    """Pairs whose full shingle sets are similar enough."""
+    pairs = stage(pairs, "candidates")
+    sets = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, rows, params)
 
     @F.pandas_udf(T.BooleanType())
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= params.percent * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
-
-    # a key may be shared by rows with other texts (repeated ids): the print decides
-    sets = stage(rows.join(wanted.select("node", "print", "key"), "key")
-                 .select("node", "print", full_set("text").alias("f"))
-                 .where(F.col("f.print") == F.col("print"))
-                 .groupBy("node").agg(F.first("f.set").alias("set")), "sets")
+        return pd.Series([alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), params)
+                          for a, b in zip(x, y)], dtype=bool)
+
     side = lambda n: sets.select(F.col("node").alias(n), F.col("set").alias(f"s_{n}"))
     return stage(pairs.join(side("a"), "a").join(side("b"), "b").where(similar("s_a", "s_b"))
                  .select("a", "b"), "near-links")
 
 
-def _rest(members: DataFrame, roots: DataFrame, classes: DataFrame, params: NearParams) -> DataFrame:
-    """Possible links between different components of a band key, its smallest class left out.
+def join_components(x: pd.DataFrame, y: pd.DataFrame, at: int, params: NearParams) -> list[tuple[int, int]]:
+    """Links that join components of one block with those of another (columns node, root, n_shingles, sketch, short, set).
 
-    Members of a key are dealt into blocks of about ``BLOCK`` sketches; each task
-    compares one block with another and writes only the pairs the estimate allows.
+    ``at``: the band of the key; a pair that shares an earlier band was compared there.
+    """
+    if x.empty or y.empty:
+        return []
+    a, b = (np.frombuffer(b"".join(s["sketch"]), np.uint16).reshape(len(s), -1) for s in (x, y))
+    p, q = (np.stack(s["short"].to_list())[:, :at] for s in (x, y))
+    yn, yk = y["n_shingles"].to_numpy(), y["node"].to_list()
+    owner: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while owner.get(r, r) != r:
+            r = owner[r]
+        return r
+
+    links, xr, yr = [], x["root"].to_list(), np.array(y["root"])
+    for k, (node, n, own) in enumerate(zip(x["node"], x["n_shingles"], x["set"])):
+        top = find(xr[k])
+        to = np.flatnonzero((yr != top) & (100 * np.minimum(n, yn) >= params.percent * np.maximum(n, yn)))
+        to = to[may_link(a[k], b[to], n + yn[to], params)] if len(to) else to
+        to = to[~(p[k] == q[to]).any(1)] if len(to) else to
+        own = np.frombuffer(own, np.uint64)
+        for j in to:
+            other = find(int(yr[j]))
+            if other != top and alike(own, np.frombuffer(y["set"].iat[j], np.uint64), params):
+                links.append((min(node, yk[j]), max(node, yk[j])))
+                owner[other] = top
+                yr[yr == other] = top
+    return links
+
+
+def _rest(members: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, params: NearParams) -> DataFrame:
+    """Links between different components of a band key, its centres left out.
+
+    Members of a key are dealt into blocks of bounded number and size; each task compares one block with
+    another and writes only links that join components.
     """
-    others = (members.where(F.col("node") != F.col("centre")).select("band", "node")
-              .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    others = (members.where((F.col("node") != F.col("first")) & (F.col("node") != F.col("last")))
+              .select("at", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+              .join(classes.select("node", "n_shingles"), "node"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)))
     open_bands = stage(others.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"),
-                                                  F.count(F.lit(1)).alias("n")).where("x <> y")
-                       .select("band", F.ceil(F.col("n") / F.lit(BLOCK)).cast("long").alias("blocks")), "open-bands")
-    dealt = (others.join(open_bands, "band")
-             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+                                                  blocks.cast("long").alias("blocks")).where("x <> y")
+                       .select("band", "blocks"), "open-bands")
+    if open_bands.isEmpty():
+        return members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    others = stage(others.join(open_bands, "band"), "open-members")
+    sets = _full_sets(others, classes, rows, params)
+    dealt = (others.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("band", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+             .select("at", "band", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                      (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
-             .join(classes.select("node", "n_shingles", "sketch"), "node"))
+             .join(classes.select("node", "n_shingles", "sketch", F.transform("bands", lambda b: F.hash(b)).alias("short"))
+                   .join(sets, "node"), "node"))
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        x, y = block[block["left"]], block[block["right"]]
-        a, b = (np.frombuffer(b"".join(s["sketch"]), np.uint16).reshape(len(s), -1) for s in (x, y))
-        out = []
-        yn, yr, yk = y["n_shingles"].to_numpy(), y["root"].to_numpy(), y["node"].to_numpy()
-        for k, (node, root, n) in enumerate(zip(x["node"], x["root"], x["n_shingles"])):
-            fit = (yr != root) & (100 * np.minimum(n, yn) >= params.percent * np.maximum(n, yn))
-            at = np.flatnonzero(fit)
-            at = at[may_link(a[k], b[at], params)] if len(at) else at
-            out += [(min(node, m), max(node, m)) for m in yk[at]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        links = join_components(block[block["left"]], block[block["right"]], int(block["at"].iloc[0]), params)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -265,19 +311,28 @@ def _decided(rows: DataFrame, params: NearParams) -> DataFrame:
         F.first("bands").alias("bands"),
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("best"))
         .withColumn("node", F.monotonically_increasing_id()), "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    centres = stage(banded.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"))
-                    .where("n > 1").select("band", "centre"), "centres")
+    banded = classes.select("node", F.posexplode("bands").alias("at", "band"))
+    # an order of the key's own: node xor key, which also gives the node back
+    own = F.col("node").bitwiseXOR(F.col("band"))
+    centres = stage(banded.groupBy("band").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high")
+                    .select("band", F.col("low").bitwiseXOR(F.col("band")).alias("first"),
+                            F.col("high").bitwiseXOR(F.col("band")).alias("last")), "centres")
     members = stage(banded.join(centres, "band"), "members")
-    spokes = members.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"),
-                                                                    F.col("node").alias("b")).distinct()
+    spokes = (members.select("node", F.explode(F.array("first", "last")).alias("centre"))
+              .where(F.col("node") != F.col("centre"))
+              .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     links = _confirmed(_estimated(spokes, classes, params), classes, rows, params)
     roots = stage(components(links), "roots")
-    rest = stage(_rest(members, roots, classes, params), "rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, classes, rows, params)
-        if not more.isEmpty():
-            roots = stage(components(links.unionByName(more)), "roots")
+    more = stage(_rest(members, roots, classes, rows, params), "more-links")
+    if not more.isEmpty():
+        # links between the components found so far
+        joined = components(more.join(roots.withColumnRenamed("root", "ra"), F.col("a") == F.col("node"), "left").drop("node")
+                            .join(roots.withColumnRenamed("root", "rb"), F.col("b") == F.col("node"), "left")
+                            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        joined = stage(joined, "joined-roots").select(F.col("node").alias("root"), F.col("root").alias("above"))
+        above = roots.unionByName(joined.select(F.col("root").alias("node"), "root")).dropDuplicates(["node"])
+        roots = stage(above.join(joined, "root", "left").select(
+            "node", F.coalesce("above", "root").alias("root")), "roots")
     named = classes.select("print", "node", "best").join(roots, "node", "left").select(
         "print", "best", F.coalesce("root", "node").alias("root"))
     firsts = stage(named.groupBy("root").agg(F.min("best").alias("first")), "firsts")
