@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillsight.llm.common import bound_batches, letter_runs, stage
+from tillsight.llm.common import bound_batches, free_name, letter_runs, stage
 
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 SMOOTHING = 0.5
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def has_letter(words: list[str]) -> bool:
@@ -42,49 +43,115 @@ def has_letter(words: list[str]) -> bool:
 
 @dataclass
 class LanguageModel:
+    """Tables of log frequencies: keys in order and a row per key with a column per language."""
     languages: list[str]
-    words: dict[str, np.ndarray]            # log frequency per language
-    grams: dict[str, np.ndarray]            # all orders; the length tells the order
+    words: tuple[list[str], np.ndarray]
+    grams: tuple[list[str], np.ndarray]     # all orders; the length tells the order
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Score of a word that is not known: backoff over n-gram orders."""
-        padded = f"^{word}$"
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _gram_hashes(codes: np.ndarray, longest: int) -> dict[int, np.ndarray]:
+    """By order n: a 64-bit hash of the n code points from each position on."""
+    out = {1: codes * _FACTOR}
+    for n in range(2, longest + 1):
+        out[n] = (out[n - 1][:-1] + codes[n - 1:]) * _FACTOR if len(codes) >= n else codes[:0]
+        out[n] ^= out[n] >> np.uint64(29)
+    return out
+
+
+class Scorer:
+    """Scores batches of texts; remembers word scores (emptied when many, so its memory is bounded)."""
+
+    WORDS_AT_ONCE = 200_000
+
+    def __init__(self, model: LanguageModel, remember: int = 300_000):
+        self.languages, self.remember = model.languages, remember
+        self.known = {w: i for i, w in enumerate(model.words[0])}
+        width = max(len(self.languages), 1)
+        self.fixed = np.asarray(model.words[1], np.float32).reshape(-1, width)
+        self.gram_rows = np.asarray(model.grams[1], np.float32).reshape(-1, width)
+        self.grams = {}
+        for n in ORDERS:
+            at = [i for i, g in enumerate(model.grams[0]) if len(g) == n]
+            hashes = _gram_hashes(_codes("".join(model.grams[0][i] for i in at)), n)[n][::n]
+            order = np.argsort(hashes)
+            self.grams[n] = (hashes[order], np.array(at, np.int64)[order])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows, self.at = self.fixed, dict(self.known)
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows of unseen words: the mean of their known n-grams of the longest order that has one."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        codes = _codes("".join([f"^{w}$" for w in words]))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        hashes = _gram_hashes(codes, max(ORDERS))
+        new = np.zeros((len(words), len(self.languages)), np.float32)
+        open_ = np.ones(len(words), bool)
         for n in ORDERS:
-            found = [self.grams[g] for g in (padded[i:i + n] for i in range(len(padded) - n + 1)) if g in self.grams]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages))
-
-    def score(self, text: str | None, memory: dict[str, np.ndarray]) -> tuple[str, float]:
-        words = letter_runs(text) if text else []
-        if not words or not self.languages or not has_letter(words):
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.languages))
-        for word, n in Counter(words).items():
-            row = self.words.get(word)
-            if row is None:
-                row = memory.get(word)
-                if row is None:
-                    row = self.unseen(word)
-                    if len(word) <= 64:
-                        memory[word] = row
-            total += n * row
-        shifted = np.exp(np.clip(total - total.max(), -700, 0))
-        best = int(shifted.argmax())
-        return self.languages[best], float(shifted[best] / shifted.sum())
-
-
-def _table(counts: DataFrame, languages: list[str], keep: int) -> dict[str, np.ndarray]:
+            known, rows = self.grams[n]
+            if not len(known) or len(codes) < n:
+                continue
+            first = owner[:len(codes) - n + 1]
+            at = np.flatnonzero((first == owner[n - 1:]) & open_[first])
+            place = np.minimum(np.searchsorted(known, hashes[n][at]), len(known) - 1)
+            hit = known[place] == hashes[n][at]
+            word = first[at[hit]]
+            if len(word):
+                begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                times = np.diff(np.append(begin, len(word)))
+                new[word[begin]] = np.add.reduceat(self.gram_rows[rows[place[hit]]], begin, axis=0) / times[:, None]
+                open_[word] = False
+        self.at.update(zip(words, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.concatenate([self.rows, new])
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out, part, size = [], [], 0
+        for text in texts:
+            words = letter_runs(text) if text else []
+            part.append(words if self.languages and has_letter(words) else [])
+            size += len(words)
+            if size >= self.WORDS_AT_ONCE:
+                out += self._score(part)
+                part, size = [], 0
+        return out + self._score(part)
+
+    def _score(self, lists: list[list[str]]) -> list[tuple[str, float]]:
+        if len(self.at) > self.remember + len(self.known):
+            self._forget()
+        new = {w for words in lists for w in words if w not in self.at}
+        if new:
+            self._learn(list(new))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(lists)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            ids = np.fromiter((self.at[w] for words in lists for w in words), np.int64, int(sizes.sum()))
+            starts = (np.cumsum(sizes) - sizes)[some]
+            total = np.add.reduceat(self.rows[ids].astype(np.float64), starts, axis=0)
+            share = np.exp(np.clip(total - total.max(1, keepdims=True), -700, 0))
+            best = share.argmax(1)
+            score = share[np.arange(len(some)), best] / share.sum(1)
+            for k, language, value in zip(some, best, score):
+                out[k] = (self.languages[language], float(value))
+        return out
+
+
+def _table(counts: DataFrame, languages: list[str], keep: int) -> tuple[list[str], np.ndarray]:
     """The ``keep`` most frequent keys with log frequencies per language (key, lang, n)."""
     wide = counts.groupBy("key").pivot("lang", languages).agg(F.sum("n")).na.fill(0)
     top = wide.withColumn("_all", sum(F.col(f"`{c}`") for c in languages)).where("_all > 1").orderBy(
         F.col("_all").desc(), "key").limit(keep).drop("_all").toPandas()         # at most ``keep`` rows
     if top.empty:
-        return {}
+        return [], np.empty((0, len(languages)), np.float32)
     n = top[languages].to_numpy(float) + SMOOTHING
     logs = np.log(n / n.sum(0))
     logs -= logs.mean(1, keepdims=True)                                          # what tells languages apart
-    return dict(zip(top["key"], logs.astype(np.float32)))
+    return top["key"].to_list(), logs.astype(np.float32)
 
 
 def fit_languages(rows: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
@@ -95,7 +162,7 @@ def fit_languages(rows: DataFrame, *, text: str = "text", lang: str = "lang", do
     languages = {r["lang"]: r["n"] for r in sizes.collect()}                     # one row a language
     names = sorted(languages)
     if not names:
-        return LanguageModel([], {}, {})
+        return LanguageModel([], ([], np.empty((0, 0))), ([], np.empty((0, 0))))
     # the same share of each language's bound, chosen by a hash of the id
     quota = max(1, max_docs // len(names))
     share = F.coalesce(*[F.when(F.col(lang) == name, F.lit(quota / n)) for name, n in languages.items()])
@@ -113,32 +180,30 @@ def fit_languages(rows: DataFrame, *, text: str = "text", lang: str = "lang", do
     counted = stage(sample.mapInPandas(count, "lang string, key string, n long").groupBy("lang", "key")
                     .agg(F.sum("n").alias("n")), "language-words")
     padded = counted.select("lang", "n", F.concat(F.lit("^"), F.col("key"), F.lit("$")).alias("w"))
-    grams: dict[str, np.ndarray] = {}
+    grams = []
     for order in ORDERS:
         cut = (padded.where(F.length("w") >= order)
                .select("lang", "n", F.explode(F.expr(
                    f"transform(sequence(1, length(w) - {order - 1}), i -> substring(w, i, {order}))")).alias("key"))
                .groupBy("lang", "key").agg(F.sum("n").alias("n")))
-        grams |= _table(cut, names, max_grams)
-    return LanguageModel(names, _table(counted, names, max_words), grams)
+        grams.append(_table(cut, names, max_grams))
+    return LanguageModel(names, _table(counted, names, max_words),
+                         ([g for keys, _ in grams for g in keys], np.concatenate([rows for _, rows in grams])))
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, text: Column) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced)."""
     bound_batches(docs.sparkSession)
     # bounded by the fit's parameters; plain values, since a broadcast is read without this package
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (model.languages, *[(list(t), np.array(list(t.values()), np.float32)) for t in (model.words, model.grams)]))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names, *tables = shared.value
-        known, memory = LanguageModel(names, *[dict(zip(keys, rows)) for keys, rows in tables]), {}
+        score = Scorer(LanguageModel(*shared.value))
         for texts in batches:
-            if len(memory) > 200_000:
-                memory.clear()
-            yield pd.DataFrame([known.score(t, memory) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame(score(texts.tolist()), columns=["lang_pred", "score"])
 
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return (docs.select(*[F.col(c) for c in keep], predict(text).alias("_found"))
-            .select(*keep, "_found.lang_pred", "_found.score"))
+    found = free_name(docs, "found")
+    return (docs.select(*[F.col(c) for c in keep], predict(text).alias(found))
+            .select(*keep, f"{found}.lang_pred", f"{found}.score"))
