@@ -8,12 +8,12 @@
    (so short texts band like long ones), and every band of ``rows`` registers
    becomes one key. Classes that share a key are candidates: a pair of similarity
    0.8 misses all 40 bands of 5 with probability 1.2e-7.
-3. Every member of a key is compared with two centres of the key (the classes first and last
-   in an order of the key's own, so the keys of a large group have different centres). Pairs
+3. Every member of a key is compared with the key's centre (the class that is first in an order
+   of the key's own, so the keys of a large group have different centres). Pairs
    whose collision-corrected estimate lies 5.5 standard deviations below the threshold go; the
    others are confirmed on their full shingle sets.
 4. Links give components. Only keys that still hold more than one component apart
-   from their centres are compared further, in blocks inside tasks: sketches first, then the full
+   from their centre are compared further, in blocks inside tasks: sketches first, then the full
    sets, between different components only and each pair in the first key it shares. A task writes
    only the links that join components: no pair list of a group is ever made, and nothing is capped.
 
@@ -271,12 +271,12 @@ def join_components(x: pd.DataFrame, y: pd.DataFrame, at: int, params: NearParam
 
 
 def _rest(members: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, params: NearParams) -> DataFrame:
-    """Links between different components of a band key, its centres left out.
+    """Links between different components of a band key, its centre left out.
 
     Members of a key are dealt into blocks of bounded number and size; each task compares one block with
     another and writes only links that join components.
     """
-    others = (members.where((F.col("node") != F.col("first")) & (F.col("node") != F.col("last")))
+    others = (members.where(F.col("node") != F.col("centre"))
               .select("at", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
               .join(classes.select("node", "n_shingles"), "node"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)))
@@ -314,12 +314,10 @@ def _decided(rows: DataFrame, params: NearParams) -> DataFrame:
     banded = classes.select("node", F.posexplode("bands").alias("at", "band"))
     # an order of the key's own: node xor key, which also gives the node back
     own = F.col("node").bitwiseXOR(F.col("band"))
-    centres = stage(banded.groupBy("band").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high")
-                    .select("band", F.col("low").bitwiseXOR(F.col("band")).alias("first"),
-                            F.col("high").bitwiseXOR(F.col("band")).alias("last")), "centres")
+    centres = stage(banded.groupBy("band").agg(F.min(own).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                    .select("band", F.col("low").bitwiseXOR(F.col("band")).alias("centre")), "centres")
     members = stage(banded.join(centres, "band"), "members")
-    spokes = (members.select("node", F.explode(F.array("first", "last")).alias("centre"))
-              .where(F.col("node") != F.col("centre"))
+    spokes = (members.where(F.col("node") != F.col("centre"))
               .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     links = _confirmed(_estimated(spokes, classes, params), classes, rows, params)
     roots = stage(components(links), "roots")
