@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.session import staging_path
+from tillsight.session import delete_path, staging_path
 
 #: Fixed value: the white space that separates words in every operator here
 #: (space, tab, line feed, vertical tab, form feed, carriage return).
@@ -38,7 +40,21 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those staged with ``keep``."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete_path(spark, path)
+
+
+def stage(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Cuts the lineage, lets several later steps share one computation, and
@@ -46,6 +62,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,31 +24,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import stage
+from tillsight.llm.common import scratch, stage
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
 BLANKS = r"[\x20\x09-\x0D]+"
 CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?[.!?;:。]|.{{1,{MAX_CHUNK}}}"
 
 
-def chunked(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", carry: bool = False,
+def chunked(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", carry: list[str] | None = None,
             digest_bits: int = 64) -> DataFrame:
     """One row per document: id, stored row number, code points, SHA-256, chunks and their digests.
 
-    ``digest_bits`` below 64 makes digests collide (for tests). With ``carry``
-    the whole input row stays in a struct column.
+    ``digest_bits`` below 64 makes digests collide (for tests). ``carry=["row"]`` keeps the
+    row numbers that the input has.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     plain = docs.select(
         F.col(doc_id).alias("doc_id"), F.length(body).alias("n_points"),
         F.regexp_replace(body, BLANKS, "").alias("plain"),
-        *([F.struct(*[F.col(c) for c in docs.columns]).alias("input")] if carry else []))
+        (F.col("row") if carry else F.monotonically_increasing_id()).alias("row"))
     cut = plain.select("*", F.expr(f"regexp_extract_all(plain, r'{CHUNK}', 0)").alias("chunks"))
     return cut.select(
-        "doc_id", "n_points", F.monotonically_increasing_id().alias("row"),
+        "doc_id", "n_points", "row",
         F.sha2(F.col("plain"), 256).alias("text_sha256"), "chunks",
-        F.expr(f"transform(chunks, c -> shiftrightunsigned(xxhash64(c), {64 - digest_bits}))").alias("recipe"),
-        *(["input"] if carry else []))
+        F.expr(f"transform(chunks, c -> shiftrightunsigned(xxhash64(c), {64 - digest_bits}))").alias("recipe"))
 
 
 def chunk_store(rows: DataFrame) -> DataFrame:
@@ -105,6 +104,12 @@ def exact_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
 def drop_copies(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    rows = stage(chunked(docs, text=text, doc_id=doc_id, carry=True), "chunks")
-    gone = _decided(rows).where(~F.col("kept")).select("row")
-    return rows.select("row", "input").join(gone, "row", "left_anti").select("input.*")
+    # the input is written once; its chunks are made from there and not written beside it
+    rows = stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+                             F.monotonically_increasing_id().alias("row"),
+                             F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("input")), "dedup-input")
+    with scratch(docs.sparkSession):
+        cut = chunked(rows, carry=["row"])
+        gone = stage(_decided(cut).where(~F.col("kept")).select("row"), "dropped", keep=True)
+    return (rows.join(gone, "row", "left_anti")
+            .select(*[(F.col("text") if c == text else F.col(f"input.`{c}`")).alias(c) for c in docs.columns]))

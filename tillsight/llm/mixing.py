@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import WORD_PATTERN, stage
+from tillsight.llm.common import WORD_PATTERN, scratch, stage
 
 MAX_CLASS = 64
 ODDS_STEPS = 2 ** 40
@@ -177,7 +177,8 @@ def mix_rows(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share:
              doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
     sized = _sized(docs, text, doc_id, source, seed, True)
-    taken = (_copies(sized.drop("input"), weights, share, max_copies, seed, bins)
-             .where("copies > 0").select("row", "copies"))
+    with scratch(docs.sparkSession):
+        taken = stage(_copies(sized.drop("input"), weights, share, max_copies, seed, bins)
+                      .where("copies > 0").select("row", "copies"), "taken", keep=True)
     return (sized.select("row", "input").join(taken, "row")
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("input.*"))

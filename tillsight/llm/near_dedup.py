@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillsight.llm.common import bound_batches, stage
+from tillsight.llm.common import bound_batches, scratch, stage
 from tillsight.llm.components import components
 
 MANTISSA_BITS = 10
@@ -360,6 +360,7 @@ def drop_near_copies(docs: DataFrame, params: NearParams = NearParams(), *, text
     """The rows of ``docs`` that stay (one of each component), with all their columns."""
     rows = stage(docs.select(*_keyed(docs, text, doc_id),
                              F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("input")), "near-input")
-    gone = _decided(rows.drop("input"), params).where(~F.col("kept")).select("row")
+    with scratch(docs.sparkSession):
+        gone = stage(_decided(rows.drop("input"), params).where(~F.col("kept")).select("row"), "dropped", keep=True)
     return (rows.join(gone, "row", "left_anti")
             .select(*[(F.col("text") if c == text else F.col(f"input.`{c}`")).alias(c) for c in docs.columns]))
