@@ -217,3 +217,37 @@ def test_licences_on_the_table(spark):
     lines = {i: set(t.split("\n")) for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{SF_SMOKE}/documents.parquet'").fetchall()}
     for r in rows:
         assert ("MIT" in r.notices.split(",")) == ("Released under the MIT License." in lines[r.doc_id])
+
+
+def test_every_form_of_a_known_licence_is_found(spark):
+    import re
+    year, short = "Copyright (c) 2019 Some Body\n\n", {n: licenses._from(licenses.TEXTS[n], "Permission") for n in ("MIT", "ISC")}
+    apache = licenses._file("Apache-2.0")
+    bsd = licenses._file("BSD-3-Clause")
+    cases = [
+        ("MIT", short["MIT"]), ("MIT", "The MIT License (MIT)\n\n" + year + short["MIT"]),
+        ("MIT", "MIT License\n\nCopyright (c) [year] [fullname]\n\n" + short["MIT"]),
+        ("ISC", year + short["ISC"]), ("ISC", "The ISC License\n\n" + year + short["ISC"]),
+        ("Apache-2.0", apache), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2019 Some Body")),
+        ("Apache-2.0", apache[:apache.index("APPENDIX")]), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + year + bsd),
+        ("BSD-3-Clause", re.sub(r"(?m)^[1-3]\.", "*", bsd).replace("HOLDER OR", "OWNER OR")),
+        ("BSD-2-Clause", year + re.sub(r"(?m)^3\..*$", "", bsd)),
+        ("GPL-2.0-only", licenses._file("GPL-2.0-only")), ("GPL-3.0-only", licenses._file("GPL-3.0-only")),
+        ("GPL-3.0-only", licenses._file("GPL-3.0-only").split("How to Apply")[0]), ("MPL-2.0", licenses._file("MPL-2.0")),
+        ("CC-BY-SA-4.0", licenses._file("CC-BY-SA-4.0")), ("Zlib", "zlib License\n\n" + year + licenses.TEXTS["Zlib"]),
+        (None, bsd.replace("3. Neither", "3. Either"))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+    assert set(licenses.NOTICES) - set(licenses.KNOWN_TEXTS) == {"CC-BY-4.0", "CC-BY-NC-4.0"}     # as the README says
+
+
+def test_header_lines_are_notices(spark):
+    lines = [("Apache-2.0", '# Licensed under the Apache License, Version 2.0 (the "License");'),
+             ("Apache-2.0", "//     https://www.apache.org/licenses/LICENSE-2.0"),
+             ("MPL-2.0", " * License, v. 2.0. If a copy of the MPL was not distributed with this"),
+             ("GPL-2.0-only", " * it under the terms of the GNU General Public License version 2 as"),
+             ("", "Licensed under the Apache License, Version 1.1 (the \"License\");")]
+    docs = spark.createDataFrame([(i, f"Some words.\n{t}\nmore") for i, (_, t) in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.notices for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(lines))] == [name for name, _ in lines]

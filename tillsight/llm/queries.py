@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import PIECE_MODEL, documents, id_bucket, labels
 from tillsight.llm.exact_dedup import exact_copies
 from tillsight.llm.language import fit_languages, predict_languages
-from tillsight.llm.licenses import NOTICES, TEXTS, scan_licenses
+from tillsight.llm.licenses import KNOWN_TEXTS, NOTICES, scan_licenses
 from tillsight.llm.mixing import mix
 from tillsight.llm.near_dedup import NearParams, near_copies
 from tillsight.llm.pieces import encode_texts, model_bytes
@@ -159,7 +159,7 @@ def _known(texts: dict) -> str:
 
 
 _OP10 = f"""
-WITH whole AS ({_known(TEXTS)}), notice AS ({_known(NOTICES)}),
+WITH whole AS ({_known(KNOWN_TEXTS)}), notice AS ({_known(NOTICES)}),
 d AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
 line AS (SELECT DISTINCT rn, sha256({_canonical('l')}) AS digest
          FROM (SELECT rn, unnest(string_split(text, chr(10))) AS l FROM d) WHERE length(trim(l)) > 0),
