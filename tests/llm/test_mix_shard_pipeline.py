@@ -126,6 +126,31 @@ def test_shard_edges(edge, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_hot_groups_have_shards_of_their_own(spark):
+    # copies of one text hold a third of the bytes: the other shards share the rest evenly
+    def sizes(hot, shards):
+        rows = [(i, f"text {i} " + "w " * (i % 40)) for i in range(1500)]
+        other = sum(len(t) + 1 for _, t in rows)
+        for k, part in enumerate(hot):
+            body = f"hot {k} " + "h " * 100
+            rows += [(10_000 * (k + 1) + j, body) for j in range(int(other * part / (1 - sum(hot)) / (len(body) + 1)))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("s").alias("source"), F.lit("en").alias("lang"))
+        got = sharding.shard_documents(docs, shards=shards).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+        total = sum(r.n for r in got)
+        return sorted((r.n / total for r in got), reverse=True)
+    one = sizes([1 / 3], 8)
+    assert len(one) == 8 and one[0] == pytest.approx(1 / 3, abs=0.01) and all(abs(x - 2 / 21) < 0.01 for x in one[1:])
+    two = sizes([0.4, 0.3], 5)
+    assert len(two) == 5 and two[:2] == pytest.approx([0.4, 0.3], abs=0.01) and all(abs(x - 0.1) < 0.01 for x in two[2:])
+    near = sizes([0.11], 8)                        # just under a shard: the tree carries it
+    assert len(near) == 8 and max(near) < 0.17 and min(near) > 0.06
+
+
+def test_shards_of_a_node_follow_its_bytes():
+    assert sharding._left_shards(50, 50, 4) == 2 and sharding._left_shards(40, 60, 5) == 2
+    assert sharding._left_shards(75, 25, 4) == 3 and sharding._left_shards(100, 0, 4) == 3
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     from tillsight.llm.common import documents, stage

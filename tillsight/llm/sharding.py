@@ -12,7 +12,9 @@ text, so that many equal coordinates can still be cut) are summed per node in
 ``ROUNDS`` rounds it is a single key. The driver holds one split a node, at most
 as many as there are shards.
 
-Law ``bytes``: sizes are near equal, up to the size of one unit a split.
+Law ``bytes``: sizes are near equal, up to the size of one unit a split. A unit that fills a shard by
+itself (at least the bytes left over the shards left, largest first) gets one of its own before the tree
+is built, and a node's children get the numbers of shards that suit the bytes on each side of the cut.
 
 Defined results: a null text counts 0 bytes plus 1 and equals the empty text; null
 coordinates count as 0; repeated rows go to the same shard with slots of their own; an
@@ -56,14 +58,31 @@ def _units(rows: DataFrame, names: list[str]) -> DataFrame:
     return units.select("text_id", "bytes", *keys, F.lit(0).alias("node"))
 
 
-def _cuts(units: DataFrame, nodes: dict[int, tuple[int, int]], names: list[str]) -> dict[int, tuple[str, int]]:
-    """Per open node (node -> first shard, number of shards): its widest dimension and the last key to the left."""
+def _filling(units: DataFrame, shards: int) -> list[bytes]:
+    """Texts of the units that fill a shard by themselves, largest first (fewer than ``shards``)."""
+    left, open_, out = units.agg(F.sum("bytes")).first()[0] or 0, shards, []
+    for r in units.orderBy(F.col("bytes").desc(), "text_id").limit(shards - 1).collect():   # fewer rows than shards
+        if r["bytes"] * open_ < left:
+            break
+        out.append(bytes(r["text_id"]))
+        left, open_ = left - r["bytes"], open_ - 1
+    return out
+
+
+def _left_shards(left: int, right: int, n: int) -> int:
+    """How many of a node's ``n`` shards go left, so that the larger mean size is smallest (ties: nearest n // 2)."""
+    return min(range(1, n), key=lambda k: (max(left / k, right / (n - k)), abs(k - n // 2), k))
+
+
+def _cuts(units: DataFrame, nodes: dict[int, tuple[int, int]], names: list[str]) -> dict[int, tuple[str, int, int]]:
+    """Per open node (node -> first shard, number of shards): widest dimension, last key and shards to the left."""
     spread = units.groupBy("node").agg(F.sum("bytes").alias("bytes"), *[
         (F.max(n) - F.min(n)).alias(n) for n in names]).collect()               # one row a node
     axis = {r["node"]: max(names, key=lambda n: r[n]) for r in spread}
     goal = {r["node"]: r["bytes"] * (nodes[r["node"]][1] // 2) / nodes[r["node"]][1] for r in spread}
     if not axis:
         return {}
+    total, left = {r["node"]: r["bytes"] for r in spread}, dict.fromkeys(axis, 0)
     key = F.coalesce(*[F.when(F.col("node") == node, F.col(a)) for node, a in axis.items()])
     keyed = units.select("node", "bytes", key.alias("key"))
     found = {node: 0 for node in axis}                                          # leading bits of the cut so far
@@ -84,15 +103,23 @@ def _cuts(units: DataFrame, nodes: dict[int, tuple[int, int]], names: list[str])
             hit = r["first"] or r["last"]
             found[r["node"]] = hit["bucket"]
             goal[r["node"]] -= hit["end"] - hit["bytes"]
+            left[r["node"]] += hit["end"] - hit["bytes"]
             if step == ROUNDS and goal[r["node"]] * 2 < hit["bytes"]:
                 found[r["node"]] -= 1                                           # less than half of it fits left
-    return {n: (axis[n], found[n]) for n in axis}
+            elif step == ROUNDS:
+                left[r["node"]] += hit["bytes"]
+    return {n: (axis[n], found[n], _left_shards(left[n], total[n] - left[n], nodes[n][1])) for n in axis}
 
 
 def assign_shards(rows: DataFrame, shards: int, names: list[str]) -> DataFrame:
     """``text_id``, ``shard`` for every distinct text of ``rows`` (text_id, size and the dimensions)."""
     units = stage(_units(rows, names), "units")
-    nodes = {0: (0, shards)}
+    filling = _filling(units, shards) if shards > 1 else []
+    own = F.lit(None).cast("int")
+    if filling:
+        own = F.coalesce(*[F.when(F.col("text_id") == F.lit(t), F.lit(k)) for k, t in enumerate(filling)])
+        units = units.withColumn("node", F.when(own.isNull(), F.col("node")).otherwise(F.lit(-1)))
+    nodes = {0: (len(filling), shards - len(filling))}
     while any(n > 1 for _, n in nodes.values()):
         still = [k for k, (_, n) in nodes.items() if n > 1]
         cuts = _cuts(units.where(F.col("node").isin(still)), nodes, names)
@@ -103,12 +130,12 @@ def assign_shards(rows: DataFrame, shards: int, names: list[str]) -> DataFrame:
                 if n == 1:
                     after[k] = (first, 1)
                 continue
-            after[2 * k + 1], after[2 * k + 2] = (first, n // 2), (first + n // 2, n - n // 2)
-            axis, last = cuts[k]
+            axis, last, part = cuts[k]
+            after[2 * k + 1], after[2 * k + 2] = (first, part), (first + part, n - part)
             moved = moved.when((node == k) & (F.col(axis) <= F.lit(last)), F.lit(2 * k + 1)).when(
                 node == k, F.lit(2 * k + 2))
         units, nodes = stage(units.withColumn("node", moved), "units"), after
-    shard = F.coalesce(*[F.when(F.col("node") == k, F.lit(first)) for k, (first, _) in nodes.items()], F.lit(0))
+    shard = F.coalesce(own, *[F.when(F.col("node") == k, F.lit(first)) for k, (first, _) in nodes.items()], F.lit(0))
     return units.select("text_id", shard.cast("int").alias("shard"))
 
 
