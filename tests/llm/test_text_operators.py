@@ -195,6 +195,17 @@ def test_language_edges(spark, edge, empty):
     assert language.predict_languages(empty, model, F.col("text")).count() == 0
 
 
+def test_each_language_keeps_its_own_words(spark):
+    # the long texts of one language do not push out the words of another, nor its documents
+    rows = [(i, "aa", " ".join(f"a{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)) + " ") for i in range(40)]
+    rows += [(100 + i, "bb", "bone btwo bthree") for i in range(4)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, lang string, text string"),
+                                   max_docs=40, max_words=20, max_grams=20)
+    assert {"bone", "btwo", "bthree"} <= set(model.words[0]) and len(model.words[0]) == 23
+    assert language.Scorer(model)(["bone bthree"])[0][0] == "bb"
+    assert {"^bone", "three"} <= set(model.grams[0])
+
+
 # ---- licences --------------------------------------------------------------
 
 def test_licence_variants_share_a_digest(spark, edge, empty):

@@ -1,9 +1,10 @@
 """Language identification: words first, character n-grams for unseen words.
 
 Training counts words and character n-grams per language over a sample of the labelled
-rows (a hash of the id decides; about ``max_docs`` rows, the documented bound of this
-fitted classifier) and keeps the most frequent ``max_words`` words and ``max_grams`` n-grams
-of each order, so the model has a fixed largest size. A known word scores its log frequency in
+rows (a hash of the id decides; about ``max_docs`` rows of each language, the documented bound
+of this fitted classifier) and keeps each language's most frequent ``max_words`` words and
+``max_grams`` n-grams of each order, whatever the other languages have. So the model has at most
+that many keys a language, with a number for every language beside each. A known word scores its log frequency in
 each language. An unseen word scores the mean log frequency of its known n-grams of the
 longest order that has one, from ``ORDERS[0]`` down to single characters. A text's language
 has the highest mean score over its words; ``score`` is its share among the languages.
@@ -142,10 +143,14 @@ class Scorer:
 
 
 def _table(counts: DataFrame, languages: list[str], keep: int) -> tuple[list[str], np.ndarray]:
-    """The ``keep`` most frequent keys with log frequencies per language (key, lang, n)."""
+    """Each language's ``keep`` most frequent keys with log frequencies per language (key, lang, n)."""
     wide = counts.groupBy("key").pivot("lang", languages).agg(F.sum("n")).na.fill(0)
-    top = wide.withColumn("_all", sum(F.col(f"`{c}`") for c in languages)).where("_all > 1").orderBy(
-        F.col("_all").desc(), "key").limit(keep).drop("_all").toPandas()         # at most ``keep`` rows
+    wide = stage(wide.where(sum(F.col(f"`{c}`") for c in languages) > 1), "language-keys")
+    chosen = None
+    for c in languages:
+        mine = wide.where(F.col(f"`{c}`") > 0).orderBy(F.col(f"`{c}`").desc(), "key").limit(keep)
+        chosen = mine if chosen is None else chosen.unionByName(mine)
+    top = chosen.distinct().orderBy("key").toPandas()                            # at most ``keep`` rows a language
     if top.empty:
         return [], np.empty((0, len(languages)), np.float32)
     n = top[languages].to_numpy(float) + SMOOTHING
@@ -156,16 +161,15 @@ def _table(counts: DataFrame, languages: list[str], keep: int) -> tuple[list[str
 
 def fit_languages(rows: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
                   max_docs: int = 6000, max_words: int = 30_000, max_grams: int = 8_000) -> LanguageModel:
-    """Counts over about ``max_docs`` labelled rows; the language list is read over all of them."""
+    """Counts over about ``max_docs`` labelled rows a language; the language list is read over all of them."""
     labelled = rows.where(F.col(lang).isNotNull())
     sizes = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     languages = {r["lang"]: r["n"] for r in sizes.collect()}                     # one row a language
     names = sorted(languages)
     if not names:
         return LanguageModel([], ([], np.empty((0, 0))), ([], np.empty((0, 0))))
-    # the same share of each language's bound, chosen by a hash of the id
-    quota = max(1, max_docs // len(names))
-    share = F.coalesce(*[F.when(F.col(lang) == name, F.lit(quota / n)) for name, n in languages.items()])
+    # as many rows of each language, chosen by a hash of the id
+    share = F.coalesce(*[F.when(F.col(lang) == name, F.lit(max_docs / n)) for name, n in languages.items()])
     dice = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.where(dice < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
