@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillsight.llm.collocation import collocations
 from tillsight.llm.common import PIECE_MODEL, documents, id_bucket, labels
+from tillsight.llm.divergence import source_divergence
 from tillsight.llm.exact_dedup import exact_copies
 from tillsight.llm.language import fit_languages, predict_languages
 from tillsight.llm.licenses import KNOWN_TEXTS, NOTICES, scan_licenses
@@ -68,6 +70,14 @@ def op10_license_scan(spark, sf_dir):
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations(documents(spark, sf_dir))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return source_divergence(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -79,6 +89,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 #: Code points deleted before texts are compared, as DuckDB's re2 writes them.
@@ -170,8 +182,68 @@ SELECT doc_id, text_digest, license, coalesce(notices, '') AS notices
 FROM t LEFT JOIN whole ON text_digest = whole.digest LEFT JOIN found USING (rn)
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS body
+               FROM documents),
+ws AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(body, '[^\x20\x09]+') AS w FROM piece),
+spot AS (SELECT id, lang, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM ws),
+run AS (SELECT lang, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM spot WINDOW o AS (PARTITION BY id ORDER BY i)),
+gram AS (SELECT lang, 1 AS k, w AS phrase FROM run
+         UNION ALL SELECT lang, 2, w || ' ' || w2 FROM run WHERE w2 IS NOT NULL
+         UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM run WHERE w3 IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM gram GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT lang, k, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS rest
+         FROM cand, (VALUES (1), (2)) AS js(j) WHERE j < k),
+scored AS (SELECT c.*, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a * y.a) AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head AND x.k = c.j
+                       JOIN f y ON y.lang = c.lang AND y.phrase = c.rest AND y.k = c.k - c.j),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[j:j + 1], ' ') AS phrase, max(a) AS longer
+           FROM cand, (VALUES (1), (2)) AS js(j) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase AND b.k = 2
+         WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rn, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+t AS (SELECT rn, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rn) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(v, 0)::HUGEINT AS v, coalesce(total, 0)::HUGEINT AS total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang)
+      LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) USING (lang, source)),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v) AS p
+      FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // ((SELECT sum(total) FROM g WHERE g.lang = p.lang)
+             + 2 * (SELECT max(v) FROM g WHERE g.lang = p.lang)) AS q FROM p GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+                    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+           ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+         FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value,
+       (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pair
+UNION ALL
+SELECT lang, source, 'term', item, value,
+       (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM term QUALIFY rank <= 10
+"""
+
 ORACLES = {
     "op4_mix_sources": _OP4,
     "op10_license_scan": _OP10,
     "op3_exact_dedup": _OP3,
+    "op11_collocations": _OP11,
+    "op12_source_divergence": _OP12,
 }
