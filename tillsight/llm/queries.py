@@ -17,6 +17,7 @@ from tillsight.llm.quality import quality_verdicts
 from tillsight.llm.sharding import shard_documents
 from tillsight.llm.suffix_dedup import remove_repeats
 from tillsight.llm.toxicity import fit_toxicity, score_toxicity
+from tillsight.llm.vector_dedup import near_vectors
 
 
 def op1_toxicity(spark, sf_dir):
@@ -78,6 +79,10 @@ def op12_source_divergence(spark, sf_dir):
     return source_divergence(documents(spark, sf_dir))
 
 
+def op13_vector_dedup(spark, sf_dir):
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -91,6 +96,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_collocations": op11_collocations,
     "op12_source_divergence": op12_source_divergence,
+    "op13_vector_dedup": op13_vector_dedup,
 }
 
 #: Code points deleted before texts are compared, as DuckDB's re2 writes them.
