@@ -71,14 +71,15 @@ def _keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         directions: dict[int, np.ndarray] = {}
         for batch in batches:
-            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            dims = batch["vec"].map(len)
-            for dim, rows in batch.groupby(dims):
+            out = [None] * len(batch)
+            dims = batch["vec"].map(len).to_numpy()
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
                 if dim not in directions:
                     directions.clear()
                     directions[dim] = _directions(passes, int(dim), seed)
-                bits = (_unit(rows["vec"]) @ directions[dim] > 0).reshape(len(rows), passes, KEY_BITS)
-                for i, k in zip(rows.index, (bits @ weights)):
+                bits = (_unit(batch["vec"].iloc[at]) @ directions[dim] > 0).reshape(len(at), passes, KEY_BITS)
+                for i, k in zip(at, bits @ weights):
                     out[i] = k
             yield batch.assign(dim=dims.astype("int32"), keys=out)
 
