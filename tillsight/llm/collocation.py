@@ -15,8 +15,8 @@ the next word into ``SLICES`` slices, so no hot prefix meets in one task.
 
 Defined results: null language is ``und``, null text is empty; documents without words give nothing; repeated rows
 count each time; an empty table gives an empty result; other columns of the input are not looked at.
-Words may be of any length, and a text of any length is read whole (a task's tables hold one batch of texts
-or about ``HELD`` words).
+Words may be of any length, and a text of any length is read whole (a task's tables hold about ``HELD`` words
+beside one Arrow batch).
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ from tillsight.llm.common import bound_batches, stage
 from tillsight.llm.tokens import Numbering, combined, hashes, key_filter, passes
 
 #: Words that a task holds before it writes its stripes.
-HELD = 6_000_000
+HELD = 2_000_000
+#: Bytes of text that are cut into words at once (words as Python objects take ten times their bytes).
+CHUNK = 4 << 20
 SLICES = 64
 HOT_SHARE = 1000
 _BREAK = b"\xff"            # no byte of UTF-8: stands between pieces
@@ -42,8 +44,14 @@ _SCHEMA = "lang string, prefix string, slice int, next array<string>, n array<lo
 _ROWS_AT_ONCE = 20_000
 
 
-def _tokens(texts: list[bytes]) -> list[bytes]:
-    return _BREAK.join(texts).translate(_MAP).replace(_BREAK, b" \xff ").split()
+def _tokens(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Words and breaks of all texts, about ``CHUNK`` bytes at a time; chunks end at breaks."""
+    body = _BREAK.join([b"", *texts, b""]).translate(_MAP)
+    at = 0
+    while at < len(body):
+        end = body.find(_BREAK, at + CHUNK) + 1 or len(body)
+        yield body[at:end].replace(_BREAK, b" \xff ").split()
+        at = end
 
 
 def _stripes(lang: str, prefix: np.ndarray, follow: np.ndarray, n: np.ndarray, cut: np.ndarray, words: pa.Array,
@@ -110,7 +118,7 @@ def _level(texts: DataFrame, level: int, filters: list, hot: dict[str, set]) ->
 
         def out():
             for lang, (numbering, parts) in held.items():
-                yield from _counted(lang, np.concatenate(parts), numbering, level, [f.value for f in filters], hot.get(lang, set()))
+                yield from _counted(lang, np.concatenate(parts).astype(np.int64), numbering, level, [f.value for f in filters], hot.get(lang, set()))
             held.clear()
 
         for batch in batches:
@@ -121,9 +129,9 @@ def _level(texts: DataFrame, level: int, filters: list, hot: dict[str, set]) ->
                     held[lang] = (Numbering(), [])
                     held[lang][0]([_BREAK])
                 numbering, parts = held[lang]
-                found = numbering([_BREAK, *_tokens(own.to_pylist()), _BREAK])
-                parts.append(found)
-                total += len(found)
+                for words in _tokens(own.to_pylist()):
+                    parts.append(numbering(words).astype(np.int32))
+                    total += len(words)
             if total >= HELD:
                 yield from out()
                 total = 0

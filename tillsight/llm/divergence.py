@@ -37,6 +37,8 @@ FIRST_LENGTH, GROWTH = 4, 3
 BLOCK, TERMS = 128, 4096
 #: Counts a task holds before it writes them.
 HELD = 400_000
+#: Bytes of whole documents that are cut into terms at once (terms as Python objects take ten times their bytes).
+CHUNK = 4 << 20
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 #: Bytes outside terms become blanks, A-Z is lower-cased.
 _MAP = bytes(ord(chr(b).lower()) if b < 0x80 and b in _LETTERS else b if b in _LETTERS else 0x20 for b in range(256))
@@ -50,15 +52,23 @@ def _terms(texts: list[bytes], numbering: Numbering) -> tuple[np.ndarray, np.nda
 
 
 def _by_group(batch: pa.RecordBatch, columns: int) -> Iterator[tuple[tuple, list[bytes]]]:
-    """Texts of a batch by its first ``columns`` columns."""
+    """Texts of a batch by its first ``columns`` columns, about ``CHUNK`` bytes at a time."""
     keys = [batch.column(i).dictionary_encode() for i in range(columns)]
     code = np.zeros(batch.num_rows, np.int64)
     for k in keys:
         code = code * len(k.dictionary) + k.indices.to_numpy(zero_copy_only=False)
     for group in np.unique(code):
         rows = np.flatnonzero(code == group)
-        yield (tuple(k.dictionary[k.indices[int(rows[0])].as_py()].as_py() for k in keys),
-               batch.column(columns).take(pa.array(rows)).to_pylist())
+        name = tuple(k.dictionary[k.indices[int(rows[0])].as_py()].as_py() for k in keys)
+        texts, size = [], 0
+        for text in batch.column(columns).take(pa.array(rows)).to_pylist():
+            texts.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield name, texts
+                texts, size = [], 0
+        if texts:
+            yield name, texts
 
 
 def _level(texts: DataFrame, length: int, before: int, survivors: Broadcast | None) -> DataFrame:
