@@ -119,6 +119,8 @@ def test_divergence_equals_brute_force(spark, monkeypatch, least, block, terms):
     monkeypatch.setattr(divergence, "BLOCK", block)
     monkeypatch.setattr(divergence, "TERMS", terms)
     monkeypatch.setattr(divergence, "HELD", 200)
+    monkeypatch.setattr(divergence, "FIRST_LENGTH", 2)
+    monkeypatch.setattr(divergence, "GROWTH", 2)
     rows = smoke() + EDGE_TEXTS + [("!!! 123", "xx", "only"), ("", "xx", "other"), ("Z" * 300 + " é" * 3, "yy", "a"), ("z" * 300, "yy", "b")]
     got = divergence.source_divergence(docs_of(spark, rows), min_docs=least)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]

@@ -1,7 +1,7 @@
 """Source divergence audit: how far the term use of each source lies from that of its language's other sources.
 
 Which terms are frequent enough is found by iceberg prefix refinement. Level by level, tasks count the distinct
-documents of every term prefix of the level's length in bytes (``LENGTHS``), Spark adds the counts up, and
+documents of every term prefix of the level's length in bytes (6, 36, 216 ...), Spark adds the counts up, and
 prefixes in fewer than ``min_docs`` documents are discarded: no term below them can be kept, so none is
 looked at again. A term that ends within a level's length is complete there, its count is exact, and it is
 kept or dropped for good. The next level extends only the surviving prefixes, until none is left.
@@ -30,86 +30,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.llm.common import bound_batches, stage
-from tillsight.llm.tokens import Numbering, combined, hashes, key_filter, passes
+from tillsight.llm.tokens import combined, hashes, key_filter, passes
 
-#: Prefix lengths of the levels in bytes; each further level is three times as long.
-FIRST_LENGTH, GROWTH = 4, 3
+#: Length of the first level's prefixes in bytes; each further level's are ``GROWTH`` times as long.
+FIRST_LENGTH, GROWTH = 6, 6
 BLOCK, TERMS = 128, 4096
-#: Counts a task holds before it writes them.
-HELD = 400_000
-#: Bytes of whole documents that are cut into terms at once (terms as Python objects take ten times their bytes).
+#: Terms a task holds before it writes their counts.
+HELD = 3_000_000
+#: Bytes of text whose terms are Python objects at one time (they take ten times their bytes).
 CHUNK = 4 << 20
+ROWS_AT_ONCE = 20_000
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 #: Bytes outside terms become blanks, A-Z is lower-cased.
 _MAP = bytes(ord(chr(b).lower()) if b < 0x80 and b in _LETTERS else b if b in _LETTERS else 0x20 for b in range(256))
 
 
-def _terms(texts: list[bytes], numbering: Numbering) -> tuple[np.ndarray, np.ndarray]:
-    """Document place and number of every term of ``texts``."""
-    found = [t.translate(_MAP).split() for t in texts]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return np.repeat(np.arange(len(found)), sizes), numbering([w for words in found for w in words])
-
-
-def _by_group(batch: pa.RecordBatch, columns: int) -> Iterator[tuple[tuple, list[bytes]]]:
-    """Texts of a batch by its first ``columns`` columns, about ``CHUNK`` bytes at a time."""
-    keys = [batch.column(i).dictionary_encode() for i in range(columns)]
-    code = np.zeros(batch.num_rows, np.int64)
-    for k in keys:
-        code = code * len(k.dictionary) + k.indices.to_numpy(zero_copy_only=False)
-    for group in np.unique(code):
-        rows = np.flatnonzero(code == group)
-        name = tuple(k.dictionary[k.indices[int(rows[0])].as_py()].as_py() for k in keys)
-        texts, size = [], 0
-        for text in batch.column(columns).take(pa.array(rows)).to_pylist():
-            texts.append(text)
-            size += len(text)
-            if size >= CHUNK:
-                yield name, texts
-                texts, size = [], 0
-        if texts:
-            yield name, texts
+class _Held:
+    """Terms of the documents a task has met, by language: an owner (document or source) and a term's number each."""
+
+    def __init__(self, distinct: bool):
+        self.distinct, self.total, self.langs = distinct, 0, {}
+
+    def add(self, lang: str, owner: int, text: bytes) -> None:
+        words = text.translate(_MAP).split()
+        if self.distinct:
+            words = list(set(words))
+        entry = self.langs.setdefault(lang, {"words": [], "owners": [], "sizes": [], "arrays": [], "bytes": 0})
+        entry["words"] += words
+        entry["owners"].append(owner)
+        entry["sizes"].append(len(words))
+        entry["bytes"] += len(text)
+        self.total += len(words)
+        if entry["bytes"] >= CHUNK:
+            self._pack(entry)
+
+    @staticmethod
+    def _pack(entry: dict) -> None:
+        entry["arrays"].append(pa.array(entry["words"], pa.binary()))
+        entry["words"], entry["bytes"] = [], 0
+
+    def full(self) -> bool:
+        return self.total >= HELD
+
+    def empty(self) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+        """Language, words, owners and numbers of all that is held, which is forgotten."""
+        for lang, entry in self.langs.items():
+            self._pack(entry)
+            coded = pa.concat_arrays(entry["arrays"]).dictionary_encode()
+            yield (lang, coded.dictionary.to_pylist(), np.repeat(np.array(entry["owners"], np.int64), entry["sizes"]),
+                   coded.indices.to_numpy(zero_copy_only=False))
+        self.langs, self.total = {}, 0
+
+
+def _column(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
 def _level(texts: DataFrame, length: int, before: int, survivors: Broadcast | None) -> DataFrame:
     """``lang, key, complete, docs`` for the prefixes of ``length`` bytes of terms longer than ``before``."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = list(held.items())
-            held.clear()
+    def counted(held: _Held) -> Iterator[pa.RecordBatch]:
+        for lang, known, doc, term in held.empty():
+            sizes = np.fromiter(map(len, known), np.int64, len(known))
+            live = np.flatnonzero(sizes > before)
+            if survivors is not None:
+                places = combined([int(hashes([lang.encode()])[0]), hashes([known[i][:before] for i in live])])
+                live = live[passes(survivors.value, places)]
+            prefixes: dict[tuple, int] = {}
+            prefix = np.full(len(known), -1)
+            for i in live.tolist():
+                prefix[i] = prefixes.setdefault((known[i][:length], len(known[i]) <= length), len(prefixes))
+            of = prefix[term]
+            good = of >= 0
+            pairs = np.unique(doc[good] * max(len(prefixes), 1) + of[good])
+            docs = np.bincount(pairs % max(len(prefixes), 1), minlength=len(prefixes))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.binary()),
-                 pa.array([k[2] for k, _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())],
+                [pa.array([lang] * len(prefixes), pa.string()), pa.array([k for k, _ in prefixes], pa.binary()),
+                 pa.array([c for _, c in prefixes], pa.bool_()), pa.array(docs, pa.int64())],
                 names=["lang", "key", "complete", "docs"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = _Held(distinct=True), 0
         for batch in batches:
-            for (lang,), own in _by_group(batch, 1):
-                numbering = Numbering()
-                doc, term = _terms(own, numbering)
-                known = numbering.words()
-                sizes = np.fromiter(map(len, known), np.int64, len(known))
-                live = sizes > before
-                if survivors is not None:
-                    at = np.flatnonzero(live)
-                    places = combined([int(hashes([lang.encode()])[0]), hashes([known[i][:before] for i in at])])
-                    live[at] = passes(survivors.value, places)
-                prefixes: dict[tuple, int] = {}
-                prefix = np.fromiter((prefixes.setdefault((w[:length], len(w) <= length), len(prefixes)) if ok else -1
-                                      for w, ok in zip(known, live)), np.int64, len(known))
-                of = prefix[term]
-                pairs = np.unique((doc * max(len(prefixes), 1) + of)[of >= 0])
-                docs = np.bincount(pairs % max(len(prefixes), 1), minlength=len(prefixes))
-                for (key, complete), n in zip(prefixes, docs.tolist()):
-                    k = (lang, key, complete)
-                    held[k] = held.get(k, 0) + n
-                if len(held) >= HELD:
-                    yield from out()
-        yield from out()
+            for lang, text in zip(_column(batch, "lang"), batch.column(1)):
+                held.add(lang, n, text.as_py())
+                n += 1
+                if held.full():
+                    yield from counted(held)
+        yield from counted(held)
 
     return (texts.select("lang", "text").mapInArrow(count, "lang string, key binary, complete boolean, docs long")
-            .groupBy("lang", "key", "complete").agg(F.sum("docs").alias("docs")))
+            .repartition("lang", "key").groupBy("lang", "key", "complete").agg(F.sum("docs").alias("docs")))
 
 
 def kept_terms(texts: DataFrame, min_docs: int) -> DataFrame:
@@ -130,34 +140,48 @@ def _term_counts(texts: DataFrame, kept: DataFrame) -> DataFrame:
     """``lang, source, term, count`` of the kept terms that a group has."""
     wanted = key_filter(kept, F.col("lang"), F.col("term"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = list(held.items())
-            held.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()),
-                 pa.array([k[2] for k, _ in rows], pa.binary()).cast(pa.string()), pa.array([n for _, n in rows], pa.int64())],
-                names=["lang", "source", "term", "count"])
+    def counted(held: _Held, sources: list[str]) -> Iterator[pa.RecordBatch]:
+        """A row for each term, with the sources that have it and their counts."""
+        names = pa.array(sources, pa.string())
+        for lang, known, source, term in held.empty():
+            words = pa.array(known, pa.binary()).cast(pa.string())
+            number = np.cumsum(good := passes(wanted.value, combined([int(hashes([lang.encode()])[0]), hashes(known)]))) - 1
+            words, at = words.filter(pa.array(good)), good[term]
+            codes = number[term[at]] * len(sources) + source[at]
+            if len(words) * len(sources) <= HELD:                # a table of all terms and sources; else sorted
+                n = np.bincount(codes)
+                codes = np.flatnonzero(n)
+                n = n[codes]
+            else:
+                codes, n = np.unique(codes, return_counts=True)
+            of = codes // len(sources)
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+            ends = np.append(first, len(of))
+            for at in range(0, len(first), ROWS_AT_ONCE):
+                rows = first[at:at + ROWS_AT_ONCE]
+                lo, hi = rows[0], ends[min(at + ROWS_AT_ONCE, len(first))]
+                offsets = pa.array(np.append(rows, hi) - lo, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(rows), pa.string()), words.take(pa.array(of[rows])),
+                     pa.ListArray.from_arrays(offsets, names.take(pa.array(codes[lo:hi] % len(sources)))),
+                     pa.ListArray.from_arrays(offsets, pa.array(n[lo:hi], pa.int64()))],
+                    names=["lang", "term", "source", "count"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sources = _Held(distinct=False), {}
         for batch in batches:
-            for (lang, source), own in _by_group(batch, 2):
-                numbering = Numbering()
-                _, term = _terms(own, numbering)
-                known = numbering.words()
-                good = passes(wanted.value, combined([int(hashes([lang.encode()])[0]), hashes(known)]))
-                counts = np.bincount(term, minlength=len(known))
-                for i in np.flatnonzero(good).tolist():
-                    k = (lang, source, known[i])
-                    held[k] = held.get(k, 0) + int(counts[i])
-                if len(held) >= HELD:
-                    yield from out()
-        yield from out()
-
-    counted = texts.mapInArrow(count, "lang string, source string, term string, count long")
-    return (counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
-            .join(kept, ["lang", "term"], "left_semi"))
+            for lang, source, text in zip(_column(batch, "lang"), _column(batch, "source"), batch.column(2)):
+                held.add(lang, sources.setdefault(source, len(sources)), text.as_py())
+                if held.full():
+                    yield from counted(held, list(sources))
+                    sources.clear()
+        yield from counted(held, list(sources))
+
+    parts = (texts.select("lang", "source", "text")
+             .mapInArrow(count, "lang string, term string, source array<string>, count array<long>").repartition("lang", "term"))
+    # all counts of a term are together, so their sums need no second exchange
+    return (parts.select("lang", "term", F.inline(F.arrays_zip("source", "count")))
+            .groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept, ["lang", "term"], "left_semi"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
