@@ -20,6 +20,7 @@ Texts and terms of any length are read whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,13 +47,14 @@ _MAP = bytes(ord(chr(b).lower()) if b < 0x80 and b in _LETTERS else b if b in _L
 
 
 class _Held:
-    """Terms of the documents a task has met, by language: an owner (document or source) and a term's number each."""
+    """Terms of at least ``least`` bytes of the documents a task has met, by language, each with its owner (document or source)."""
 
-    def __init__(self, distinct: bool):
+    def __init__(self, distinct: bool, least: int = 1):
         self.distinct, self.total, self.langs = distinct, 0, {}
+        self.cut = bytes.split if least == 1 else re.compile(rb"[^ ]{%d,}" % least).findall
 
     def add(self, lang: str, owner: int, text: bytes) -> None:
-        words = text.translate(_MAP).split()
+        words = self.cut(text.translate(_MAP))
         if self.distinct:
             words = list(set(words))
         entry = self.langs.setdefault(lang, {"words": [], "owners": [], "sizes": [], "arrays": [], "bytes": 0})
@@ -90,8 +92,7 @@ def _level(texts: DataFrame, length: int, before: int, survivors: Broadcast | No
     """``lang, key, complete, docs`` for the prefixes of ``length`` bytes of terms longer than ``before``."""
     def counted(held: _Held) -> Iterator[pa.RecordBatch]:
         for lang, known, doc, term in held.empty():
-            sizes = np.fromiter(map(len, known), np.int64, len(known))
-            live = np.flatnonzero(sizes > before)
+            live = np.arange(len(known))
             if survivors is not None:
                 places = combined([int(hashes([lang.encode()])[0]), hashes([known[i][:before] for i in live])])
                 live = live[passes(survivors.value, places)]
@@ -109,7 +110,7 @@ def _level(texts: DataFrame, length: int, before: int, survivors: Broadcast | No
                 names=["lang", "key", "complete", "docs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = _Held(distinct=True), 0
+        held, n = _Held(distinct=True, least=before + 1), 0
         for batch in batches:
             for lang, text in zip(_column(batch, "lang"), batch.column(1)):
                 held.add(lang, n, text.as_py())
@@ -181,7 +182,8 @@ def _term_counts(texts: DataFrame, kept: DataFrame) -> DataFrame:
              .mapInArrow(count, "lang string, term string, source array<string>, count array<long>").repartition("lang", "term"))
     # all counts of a term are together, so their sums need no second exchange
     return (parts.select("lang", "term", F.inline(F.arrays_zip("source", "count")))
-            .groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept, ["lang", "term"], "left_semi"))
+            .groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
+            .join(kept.hint("shuffle_hash"), ["lang", "term"], "left_semi"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
