@@ -47,7 +47,7 @@ def test_hot_basket_and_hot_duplicate_group(spark):
     assert clean.count() == 1 + len(rest) + len(other_hot) + 1
     # pairs on the raw-typed rows (copies kept) equal the naive self-join
     pre = {(r.src, r.dst): r.weight for r in graph.copurchase_pairs(typed).collect()}
-    joined = {(r.src, r.dst): r.weight for r in graph.copurchase_pairs(typed, wide=True).collect()}
+    joined = {(r.src, r.dst): r.weight for r in graph.copurchase_pairs(typed, block=2).collect()}
     assert pre.keys() == joined.keys() and all(pre[k] == pytest.approx(joined[k]) for k in pre)
     rows = typed.collect()
     naive = {}

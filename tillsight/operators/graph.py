@@ -23,7 +23,7 @@ class ConvergenceError(RuntimeError):
 
 
 def copurchase_pairs(sales: DataFrame, *, basket: tuple[str, ...] = ("store_nbr", "date"),
-                     item: str = "family", value: str = "sales", wide: bool = False) -> DataFrame:
+                     item: str = "family", value: str = "sales", block: int = 512) -> DataFrame:
     """Category pairs bought in the same basket, weighted by the first category's sales.
 
     For rows t1, t2 of one basket with t1.item < t2.item the weight adds
@@ -33,9 +33,10 @@ def copurchase_pairs(sales: DataFrame, *, basket: tuple[str, ...] = ("store_nbr"
     so a basket contributes at most C(k, 2) pairs for k categories however
     many rows it has, and a hot basket is collapsed before any shuffle.
 
-    The cells of a basket then form one array (bounded by the categories) and its pairs are
-    spelt out from it: the facts are read once and nothing is joined. ``wide=True`` joins the
-    cells with themselves instead, for items so many (SKUs) that a basket's array would be large.
+    The cells of a basket form arrays and the pairs are spelt out from them; nothing is joined with
+    itself. The basket's measured width decides: up to ``block`` cells are one array, a wider one is cut by a hash of the
+    item into blocks of about that size, and every pair of blocks (the triangle, the diagonal included) is
+    its own row, so that a task spells out at most about block x block pairs at a time, on any executor.
     """
     keys = list(basket)
     present = F.col(item).isNotNull()
@@ -44,18 +45,26 @@ def copurchase_pairs(sales: DataFrame, *, basket: tuple[str, ...] = ("store_nbr"
     cells = (sales.where(present)
              .groupBy(*keys, item)
              .agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n")))
-    if not wide:
-        basket_cells = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), "s", "n"))).alias("c"))
-        later = lambda x, at: F.transform(
-            F.slice("c", at + 2, F.size("c")),
-            lambda y: F.struct(x["i"].alias("src"), y["i"].alias("dst"), (x["s"] * y["n"]).alias("w")))
-        return (basket_cells.where(F.size("c") > 1).select(F.explode(F.flatten(F.transform("c", later))).alias("p"))
-                .groupBy("p.src", "p.dst").agg(F.sum("p.w").alias("weight")))
-    a, b = cells.alias("a"), cells.alias("b")
-    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col(f"a.{item}") < F.col(f"b.{item}")]
-    return (a.join(b, cond)
-            .groupBy(F.col(f"a.{item}").alias("src"), F.col(f"b.{item}").alias("dst"))
-            .agg(F.sum(F.col("a.s") * F.col("b.n")).alias("weight")))
+    width = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    cut = cells.withColumn("nb", F.ceil(width / block)).withColumn("b", F.pmod(F.xxhash64(item), F.col("nb")))
+    # the window has put a basket's cells together, so this aggregate moves nothing
+    blocks = (cut.groupBy(*keys, "nb", "b")
+              .agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), "s", "n"))).alias("c")))
+    pair = lambda x, y: F.struct(x["i"].alias("src"), y["i"].alias("dst"), (x["s"] * y["n"]).alias("w"))
+    within = lambda c: F.flatten(F.transform(c, lambda x, at: F.transform(
+        F.slice(c, at + 2, F.size(c)), lambda y: pair(x, y))))
+    narrow = blocks.where((F.col("nb") == 1) & (F.size("c") > 1)).select(F.explode(within(F.col("c"))).alias("p"))
+    # wide baskets: each block meets each other one once
+    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o")
+    sides = (blocks.where(F.col("nb") > 1).select(*keys, "b", "c", partner)
+             .groupBy(*keys, F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+             .agg(F.collect_list("c").alias("cs")))
+    one, two = F.col("cs")[0], F.col("cs")[1]
+    across = F.flatten(F.transform(one, lambda x: F.transform(
+        two, lambda y: F.when(x["i"] < y["i"], pair(x, y)).otherwise(pair(y, x)))))
+    wide = sides.where((F.col("lo") == F.col("hi")) | (F.size("cs") == 2)).select(
+        F.explode(F.when(F.col("lo") == F.col("hi"), within(one)).otherwise(across)).alias("p"))
+    return narrow.unionByName(wide).groupBy("p.src", "p.dst").agg(F.sum("p.w").alias("weight"))
 
 
 def edges(pairs: DataFrame, *, min_weight: float | Column = 2e7) -> DataFrame:
@@ -89,7 +98,21 @@ def _empty_scores(spark) -> DataFrame:
                                                  StructField("score", DoubleType())]))
 
 
-def eigenvector_centrality(edge_df: DataFrame, *, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
+def _blocked(sym: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``sym`` with their block (``salt``) within ``src``, and per vertex its number of blocks.
+
+    A vertex has a block for each ``block_rows`` of its edges, dealt by a hash of the other end: most have one,
+    a hub has as many as its measured degree needs.
+    """
+    degrees = checkpointed(sym.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
+    hubs = degrees.where(F.col("blocks") > 1)
+    salt = F.pmod(F.xxhash64("dst"), F.coalesce(F.col("blocks"), F.lit(1))).cast("int")
+    return (sym.join(hubs, "src", "left").withColumn("salt", salt).drop("blocks"),
+            degrees.withColumnRenamed("src", "id"))
+
+
+def eigenvector_centrality(edge_df: DataFrame, *, max_iter: int = 100, tol: float = 1e-6,
+                           block_rows: int = 10_000) -> DataFrame:
     """Weighted eigenvector centrality by power iteration on (A + I).
 
     Start from 1/n everywhere, each step x <- (A + I) x normalised to unit L2
@@ -99,43 +122,49 @@ def eigenvector_centrality(edge_df: DataFrame, *, max_iter: int = 100, tol: floa
     gives an empty frame; no convergence within ``max_iter`` raises.
     Edges must be one row per undirected pair.
 
-    The adjacency is written once, bucketed by ``src`` on the shared folder, so a step moves
-    only the vector to it and the partial sums from it. Each step is a reliable checkpoint
+    The matrix is blocked in two dimensions: a vertex's edges are dealt to blocks of at most about
+    ``block_rows`` (by the vertex and a hash of the other end), a vertex's entry of the vector is copied
+    to its own blocks only, and the products are summed per block before they are shuffled (the partial
+    step of the aggregate). So the edges of a hub are spread over all tasks on the way out, and its row of the
+    result gathers one partial sum a task. The blocks are written once, bucketed, on the shared folder: a step moves
+    only the vector to them and the partial sums from them. Each step is a reliable checkpoint
     (a lost executor never recomputes more than one step). One one-row action per step brings
     the new norm and the previous step's change to the driver together: the stop is detected one
     step late and the previous iterate, still held in the step's rows, is
     returned, so the result is exactly the iterate the stopping rule picks.
     """
     spark = edge_df.sparkSession
-    # (A + I): the identity enters as one marked self-row per vertex, so a step is
-    # a single join + aggregate, and the same aggregate carries the previous values
     sym = checkpointed(_symmetric(edge_df).withColumn("ident", F.lit(False)))
-    nodes = checkpointed(sym.select(F.col("src").alias("id")).distinct())
+    blocked, nodes = _blocked(sym, block_rows)
     n = nodes.count()
     if n == 0:
         return _empty_scores(spark)
+    # (A + I): the identity enters as one marked self-row per vertex, so a step is
+    # a single join + aggregate, and the same aggregate carries the previous values
     ident = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"),
-                         F.lit(True).alias("ident"))
+                         F.lit(True).alias("ident"), F.lit(0).alias("salt"))
     path = staging_path(spark, "adjacency")
     table = f"adjacency_{path.rsplit('-', 1)[-1]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (sym.unionByName(ident).repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src")
-     .option("path", path).saveAsTable(table))
+    (blocked.unionByName(ident).repartition(buckets, "src", "salt").write.bucketBy(buckets, "src", "salt")
+     .sortBy("src", "salt").option("path", path).saveAsTable(table))
     try:
         adj = spark.table(table)
-        x = nodes.select("id", F.lit(1.0 / n).alias("x"), F.lit(None).cast("double").alias("x_prev"))
+        x = nodes.select("id", "blocks", F.lit(1.0 / n).alias("x"), F.lit(None).cast("double").alias("x_prev"))
         for i in range(1, max_iter + 2):
             own = F.col("ident")
-            y = checkpointed(adj.join(x, adj.src == x.id)
+            copies = x.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            y = checkpointed(adj.join(copies, (adj.src == copies.id) & (adj.salt == copies.copy))
                              .groupBy(F.col("dst").alias("id"))
                              .agg(F.sum(F.col("w") * F.col("x")).alias("y"),
+                                  F.max(F.when(own, F.col("blocks"))).alias("blocks"),
                                   F.max(F.when(own, F.col("x"))).alias("x_prev"),
                                   F.max(F.when(own, F.col("x_prev"))).alias("x_prev2")))
             row = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"),
                         F.sum(F.abs(F.col("x_prev") - F.col("x_prev2"))).alias("delta")).first()
             if i >= 2 and row["delta"] is not None and row["delta"] < n * tol:
                 return y.select("id", F.col("x_prev").alias("score"))
-            x = y.select("id", (F.col("y") / F.lit(row["norm"] or 1.0)).alias("x"), "x_prev")
+            x = y.select("id", "blocks", (F.col("y") / F.lit(row["norm"] or 1.0)).alias("x"), "x_prev")
         raise ConvergenceError(f"power iteration did not converge in {max_iter} steps")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")

@@ -1,19 +1,23 @@
 """Monthly facts, the overall monthly series, outlier cut, chronological split
 and the correlation matrix.
 
-``monthly_sales`` aggregates the fact table (distributed). Everything after
-it works on the *month-grain* series: one row per calendar month, so its size
-is bounded by the calendar (12 rows a year), not by the data. Only there are
-global windows (one task) allowed: ``row_number`` for the split and the
-positional month index.
+``monthly_sales`` aggregates the fact table (distributed). What comes after it is meant for
+the *month-grain* series (one row per calendar month), but holds for frames of any size: the
+percentile is selected by counting passes (``selection``), positions come from numbered
+ranges (``ordering``); nothing is gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.functions.rounding import money_round
+from tillsight.operators.ordering import numbered
+from tillsight.operators.selection import exact_percentiles
+from tillsight.session import checkpointed
 
 
 def monthly_sales(sales: DataFrame, *, item: str = "family") -> DataFrame:
@@ -41,35 +45,28 @@ def monthly_series(monthly: DataFrame, *, mode: str = "calendar") -> DataFrame:
         return s
     if mode != "positional":
         raise ValueError(f"mode must be 'calendar' or 'positional', not {mode!r}")
-    w = Window.orderBy("ds")  # month grain: bounded by the calendar
-    return s.select(
-        F.add_months(F.min("ds").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-                     F.row_number().over(w) - 1).alias("ds"),
-        "y", "avg_promotion")
+    placed, _ = numbered(checkpointed(s), "ds", name="_rn")
+    first = placed.where(F.col("_rn") == 1).select("ds").first()
+    return placed.select(F.add_months(F.lit(first["ds"] if first else None).cast("date"), F.col("_rn").cast("int") - 1).alias("ds"),
+                         "y", "avg_promotion")
 
 
 def drop_upper_outliers(df: DataFrame, *, col: str = "y", q: float = 0.95) -> DataFrame:
-    """Keep rows with ``col`` at or below its exact ``q`` percentile (linear interpolation).
+    """Keep rows with ``col`` at or below its exact ``q`` percentile (linear interpolation; finite values count).
 
-    For month-grain frames: the percentile is a window aggregate over the
-    whole frame, so the series is computed once (a scalar subquery would
-    re-run the fact aggregation behind it with different pruning).
+    ``df`` is checkpointed first: the passes that select the percentile and the filter read the same rows.
     """
-    limit = F.percentile(F.col(col), F.lit(q)).over(Window.partitionBy())
-    return df.withColumn("_limit", limit).where(F.col(col) <= F.col("_limit")).drop("_limit")
+    rows = checkpointed(df)
+    [limit] = exact_percentiles(rows, col, [q])
+    return rows.where(F.col(col) <= F.lit(limit).cast("double"))
 
 
-def chrono_split(df: DataFrame, *, order: str = "ds", frac: float = 0.8,
+def chrono_split(df: DataFrame, *, order: str | tuple[str, ...] = "ds", frac: float = 0.8,
                  label: str = "split") -> DataFrame:
-    """First floor(n * frac) rows in ``order`` are 'train', the rest 'test'.
-
-    For month-grain frames only (a global order runs in one task).
-    """
-    w = Window.orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return (df.withColumn("_rn", F.row_number().over(w))
-            .withColumn(label, F.when(F.col("_rn") <= F.floor(n * frac), "train").otherwise("test"))
-            .drop("_rn"))
+    """First floor(n * frac) rows in ``order`` (one column or several, total) are 'train', the rest 'test'."""
+    keys = (order,) if isinstance(order, str) else order
+    placed, n = numbered(df, *keys, name="_rn")
+    return placed.withColumn(label, F.when(F.col("_rn") <= math.floor(n * frac), "train").otherwise("test")).drop("_rn")
 
 
 def correlation_matrix(df: DataFrame, cols: tuple[str, ...] = ("total_sales", "avg_promotion"),
