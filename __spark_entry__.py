@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.formatting import format_report
 from tillsight.functions.rounding import money_round
-from tillsight.operators import cleaning, diagnostics, graph, reports, stats, timeseries
+from tillsight.operators import cleaning, diagnostics, graph, reports, selection, stats, timeseries
 from tillsight.operators import forecast as fc
 from tillsight.session import checkpointed, staging_path
 from tillsight.sinks import chart_series, read_reports, summary, write_reports
@@ -69,7 +69,7 @@ def _categories(spark, d):
 
 
 def _growth(spark, d):
-    return reports.city_growth(_sales(spark, d, "city", "date", "sales"))
+    return reports.city_growth(_sales(spark, d, "city", "date", "sales"), ordered=False)
 
 
 def _raw(spark, d):
@@ -144,6 +144,56 @@ def _naive_predictions(spark, d):
                     F.lag("y").over(Window.orderBy("ds")).alias("predicted"))
 
 
+def _stump_predictions(spark, d):
+    """Actual and predicted of a fitted model that SQL can state: one boosted tree of depth 1, to cents."""
+    return checkpointed(_forecast(spark, d, 1, 1).withColumn("predicted", money_round("predicted", 2)))
+
+
+PERCENTILES = (0.01, 0.25, 0.5, 0.95, 0.999)
+TOP_NODES = 10                  # below the number of vertices, so that the subgraph loses edges
+
+
+def q_price_percentiles(spark, d):
+    """Exact percentiles over all line items."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    rows = [(c, q, v) for c in ("l_extendedprice", "l_quantity")
+            for q, v in zip(PERCENTILES, selection.exact_percentiles(items, c, list(PERCENTILES)))]
+    return spark.createDataFrame(rows, "measure string, q double, value double").select(
+        "measure", "q", money_round("value", 4).alias("value"))
+
+
+def q_line_split(spark, d):
+    """All line items in order of date and key: the first four fifths are 'train'."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return timeseries.chrono_split(items, order=("l_shipdate", "l_orderkey", "l_linenumber")).drop("l_shipdate")
+
+
+def q_line_outliers(spark, d):
+    """Line items at or below the 95th percentile of price."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return timeseries.drop_upper_outliers(items, col="l_extendedprice", q=0.95)
+
+
+def q_wide_pairs(spark, d):
+    """Pairs of articles (brand and size) sold in one city: baskets of about a thousand articles, in blocks."""
+    line, part, supplier = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "part", "supplier"))
+    sales = (line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey)
+             .select(F.col("s_nationkey").alias("city"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("article"),
+                     F.col("l_extendedprice").alias("sales")))
+    pairs = graph.copurchase_pairs(sales, basket=("city",), item="article", block=256)
+    return pairs.select("src", "dst", money_round("weight", 2).alias("weight"))
+
+
+def _top10_subgraph(spark, d):
+    e = _edges_mean(spark, d)
+    return graph.induced(e, graph.top_nodes(_scores(spark, d, e), k=TOP_NODES))
+
+
+def q_sparse_component_edges(spark, d):
+    e = _edges_sparse(spark, d)
+    return graph.component_edges(graph.vertices(e), e)
+
+
 def q_csv_scan(spark, d):
     path = staging_path(spark, "sales_csv")
     write_sales_csv(_raw(spark, d), path)
@@ -217,14 +267,14 @@ def q_summary(spark, d):
         duplicates=diagnostics.duplicate_groups(typed),
         ttest=_ttest(spark, d),
         top_node=_round_scores(top),
-        metrics=stats.regression_metrics(_naive_predictions(spark, d), decimals=4),
+        metrics=stats.regression_metrics(_stump_predictions(spark, d), decimals=4),
     )
 
 
 def q_chart_series(spark, d):
     return chart_series(
         split_series=_split(spark, d),
-        predictions=_naive_predictions(spark, d),
+        predictions=_stump_predictions(spark, d),
         top_cities=reports.top_cities(_sales(spark, d, "city", "sales"), k=10),
         correlation=timeseries.correlation_matrix(_monthly(spark, d)),
     )
@@ -244,6 +294,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # reports
     "top_categories": lambda s, d: reports.top_categories(_categories(s, d), k=5),
     "city_growth": _growth,
+    "city_choices": lambda s, d: reports.city_choices(reports.city_totals(_sales(s, d, "city", "sales")), k=10),
+    "category_breadth_city": lambda s, d: reports.category_breadth(_sales(s, d, "city", "family", "sales", "transactions")),
     "city_growth_filtered": lambda s, d: reports.city_growth_for(_sales(s, d, "city", "date", "sales"), choices=10),
     "category_breadth": lambda s, d: reports.category_breadth(
         _customers(s, d), by="customer", min_categories=2, k=5),
@@ -269,14 +321,21 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "monthly_series_positional": lambda s, d: timeseries.monthly_series(_monthly(s, d), mode="positional"),
     "monthly_outliers_removed": _trimmed,
     "train_test_split": _split,
+    "price_percentiles": q_price_percentiles,
+    "line_split": q_line_split,
+    "line_outliers_removed": q_line_outliers,
     "promo_correlation": lambda s, d: timeseries.correlation_matrix(_monthly(s, d)),
     # graph
     "copurchase_pairs": _pairs,
+    "copurchase_pairs_wide": q_wide_pairs,
     "graph_edges": _edges_mean,
     "graph_vertices": lambda s, d: graph.vertices(_edges_mean(s, d)),
     "graph_centrality": lambda s, d: _round_scores(_scores(s, d)),
     "graph_centrality_topk": lambda s, d: _round_scores(graph.top_nodes(_scores(s, d), k=100)),
     "graph_subgraph": _subgraph,
+    "graph_centrality_top10": lambda s, d: _round_scores(graph.top_nodes(_scores(s, d), k=TOP_NODES)),
+    "graph_subgraph_top10": _top10_subgraph,
+    "graph_component_edges_sparse": q_sparse_component_edges,
     "graph_components": lambda s, d: _components(s, d),
     "graph_largest_component": lambda s, d: _components(s, d, largest=True),
     "graph_component_edges": q_component_edges,
@@ -619,6 +678,12 @@ def _oracles() -> dict[str, str]:
     o["city_growth"] = _w(SALES, CITY_GROWTH) + "SELECT * FROM city_growth"
     o["city_growth_filtered"] = _w(SALES, CITY_GROWTH, TOP_CITIES) + """SELECT * FROM city_growth
 WHERE city = (SELECT city FROM top_cities ORDER BY city LIMIT 1)"""
+    o["city_choices"] = _w(SALES, TOP_CITIES) + "SELECT city FROM top_cities"
+    o["category_breadth_city"] = _w(SALES) + f"""SELECT unique_categories, COUNT(city) AS city_count,
+       {_mr('AVG(distinct_tx)', 0)} AS avg_distinct_tx
+FROM (SELECT city, COUNT(DISTINCT family) AS unique_categories, COUNT(DISTINCT transactions) AS distinct_tx
+      FROM sales WHERE sales IS NOT NULL GROUP BY city HAVING COUNT(DISTINCT family) > 2)
+GROUP BY unique_categories ORDER BY unique_categories LIMIT 5"""
     o["category_breadth"] = _w(SALES_CUST, BREADTH) + "SELECT * FROM category_breadth"
     o["promotion_impact"] = _w(SALES, PROMO) + "SELECT * FROM promotion_impact"
     o["high_risk_orders"] = _w(SALES, HIGH_RISK_SQL) + "SELECT * FROM high_risk"
@@ -662,14 +727,34 @@ FROM high_risk"""
 FROM series"""
     o["monthly_outliers_removed"] = _w(SALES, SERIES) + "SELECT * FROM trimmed"
     o["train_test_split"] = _w(SALES, SERIES) + "SELECT * FROM split"
+    o["price_percentiles"] = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS measure, CAST({q} AS DOUBLE) AS q, {_mr(f'quantile_cont({c}, {q})', 4)} AS value FROM lineitem"
+        for c in ("l_extendedprice", "l_quantity") for q in PERCENTILES)
+    o["line_split"] = """SELECT l_orderkey, l_linenumber,
+       CASE WHEN ROW_NUMBER() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) <= FLOOR(COUNT(*) OVER () * 0.8)
+            THEN 'train' ELSE 'test' END AS split
+FROM lineitem"""
+    o["line_outliers_removed"] = """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+WHERE l_extendedprice <= (SELECT quantile_cont(l_extendedprice, 0.95) FROM lineitem)"""
     o["promo_correlation"] = _w(SALES, MONTHLY) + _corr_body("monthly")
 
     o["copurchase_pairs"] = _w(SALES, PAIRS) + "SELECT * FROM pairs"
+    o["copurchase_pairs_wide"] = f"""WITH a AS (
+  SELECT s_nationkey AS city, concat(p_brand, '/', p_size) AS article, l_extendedprice AS sales
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
+SELECT x.article AS src, y.article AS dst, {_mr('SUM(x.sales)')} AS weight
+FROM a x JOIN a y ON x.city = y.city AND x.article < y.article GROUP BY x.article, y.article"""
     o["graph_edges"] = _w(SALES, EDGES_MEAN) + "SELECT * FROM edges"
     o["graph_vertices"] = _w(SALES, EDGES_MEAN) + "SELECT src AS id FROM edges UNION SELECT dst FROM edges"
     o["graph_centrality"] = _w(SALES, CENTRALITY) + f"SELECT id, {_mr('score', 4)} AS score FROM scores"
     o["graph_centrality_topk"] = _w(SALES, TOPK) + f"SELECT id, {_mr('score', 4)} AS score, rank FROM topk"
     o["graph_subgraph"] = _w(SALES, TOPK) + "SELECT * FROM subgraph"
+    o["graph_centrality_top10"] = _w(SALES, TOPK) + f"""SELECT id, {_mr('score', 4)} AS score, rank
+FROM topk WHERE rank <= {TOP_NODES}"""
+    top10 = f"(SELECT id FROM topk WHERE rank <= {TOP_NODES})"
+    o["graph_subgraph_top10"] = _w(SALES, TOPK) + f"SELECT * FROM edges WHERE src IN {top10} AND dst IN {top10}"
+    o["graph_component_edges_sparse"] = _w_rec(SALES, EDGES_SPARSE, _components_ctes("edges_s", "comp")) + """
+SELECT * FROM edges_s WHERE src IN (SELECT id FROM comp_largest) AND dst IN (SELECT id FROM comp_largest)"""
     o["graph_components"] = _w_rec(SALES, EDGES_SPARSE, _components_ctes("edges_s", "comp")) + \
         "SELECT id, component FROM comp"
     o["graph_largest_component"] = _w_rec(SALES, EDGES_SPARSE, _components_ctes("edges_s", "comp")) + \
@@ -700,11 +785,9 @@ FROM ok GROUP BY split"""
                                  HIGH_RISK_SQL) + "\nUNION ALL\n".join(
         f"SELECT '{name}' AS report, {key} AS key, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM {cte}"
         for name, cte, key, measures in cells for m in measures)
-    naive = """
-pred AS (SELECT ds, split, y AS actual, LAG(y) OVER (ORDER BY ds) AS predicted FROM split)"""
     o["forecast_predict"] = _w(SALES, SERIES) + "SELECT ds, split, y AS actual, TRUE AS in_range FROM split"
     # regression stump: over both features and all midpoints between neighbouring values, the split of least squared error
-    o["forecast_stump"] = _w(SALES, SERIES) + f""",
+    stump = f""",
 f AS (SELECT ds, split, y, unnest([month(ds), year(ds)]) AS v, unnest(['month', 'year']) AS feature FROM split),
 tr AS (SELECT * FROM f WHERE split = 'train'),
 vals AS (SELECT feature, v, LEAD(v) OVER (PARTITION BY feature ORDER BY v) AS nxt
@@ -715,12 +798,14 @@ sides AS (
          COALESCE(VAR_POP(CASE WHEN t.v <= c.cut THEN y END) * COUNT(CASE WHEN t.v <= c.cut THEN y END), 0)
          + COALESCE(VAR_POP(CASE WHEN t.v > c.cut THEN y END) * COUNT(CASE WHEN t.v > c.cut THEN y END), 0) AS sse
   FROM cand c JOIN tr t ON c.feature = t.feature GROUP BY c.feature, c.cut),
-best AS (SELECT * FROM sides ORDER BY sse LIMIT 1)
-SELECT f.ds, f.split, f.y AS actual, {_mr('CASE WHEN f.v <= b.cut THEN b.lo ELSE b.hi END')} AS predicted
-FROM f JOIN best b ON f.feature = b.feature"""
+best AS (SELECT * FROM sides ORDER BY sse LIMIT 1),
+pred AS (
+  SELECT f.ds, f.split, f.y AS actual, {_mr('CASE WHEN f.v <= b.cut THEN b.lo ELSE b.hi END')} AS predicted
+  FROM f JOIN best b ON f.feature = b.feature)"""
+    o["forecast_stump"] = _w(SALES, SERIES) + stump + " SELECT * FROM pred"
     o["graph_component_edges"] = _w_rec(SALES, TOPK, _components_ctes("subgraph", "sub")) + """
 SELECT * FROM subgraph WHERE src IN (SELECT id FROM sub_largest) AND dst IN (SELECT id FROM sub_largest)"""
-    o["chart_series"] = _w(SALES, SERIES, TOP_CITIES) + "," + naive + f""",
+    o["chart_series"] = _w(SALES, SERIES, TOP_CITIES) + stump + f""",
 corr AS ({_corr_body('monthly')})
 SELECT 'train_test' AS chart,
        CASE WHEN split = 'train' THEN 'Train Data' ELSE 'Test Data' END AS series,
@@ -732,7 +817,7 @@ UNION ALL SELECT 'actual_vs_predicted', CASE WHEN split = 'train' THEN 'Actual T
 UNION ALL SELECT 'actual_vs_predicted', CASE WHEN split = 'train' THEN 'Predicted Train Sales' ELSE 'Predicted Test Sales' END,
        strftime(ds, '%Y-%m-%d'), predicted FROM pred
 UNION ALL SELECT 'correlation', "row", col, corr FROM corr"""
-    o["report_summary"] = _w(SALES, CLEAN, SERIES, TTEST, CENTRALITY) + "," + naive + f""",
+    o["report_summary"] = _w(SALES, CLEAN, SERIES, TTEST, CENTRALITY) + stump + f""",
 model AS (
   SELECT split, {_mr('SQRT(AVG((actual - predicted) * (actual - predicted)))', 4)} AS rmse,
          {_mr('1 - SUM((actual - predicted) * (actual - predicted)) / NULLIF(VAR_POP(actual) * COUNT(actual), 0)', 4)} AS r2

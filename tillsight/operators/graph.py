@@ -59,11 +59,13 @@ def copurchase_pairs(sales: DataFrame, *, basket: tuple[str, ...] = ("store_nbr"
     sides = (blocks.where(F.col("nb") > 1).select(*keys, "b", "c", partner)
              .groupBy(*keys, F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
              .agg(F.collect_list("c").alias("cs")))
-    one, two = F.col("cs")[0], F.col("cs")[1]
-    across = F.flatten(F.transform(one, lambda x: F.transform(
-        two, lambda y: F.when(x["i"] < y["i"], pair(x, y)).otherwise(pair(y, x)))))
-    wide = sides.where((F.col("lo") == F.col("hi")) | (F.size("cs") == 2)).select(
-        F.explode(F.when(F.col("lo") == F.col("hi"), within(one)).otherwise(across)).alias("p"))
+    same = F.col("lo") == F.col("hi")
+    x, y = F.col("x"), F.col("y")
+    wide = (sides.where(same | (F.size("cs") == 2))
+            .select(same.alias("same"), F.col("cs")[0].alias("one"), F.when(same, F.col("cs")[0]).otherwise(F.col("cs")[1]).alias("two"))
+            .select("same", "two", F.explode("one").alias("x")).select("same", "x", F.explode("two").alias("y"))
+            .where(~F.col("same") | (x["i"] < y["i"]))
+            .select(F.when(x["i"] < y["i"], pair(x, y)).otherwise(pair(y, x)).alias("p")))
     return narrow.unionByName(wide).groupBy("p.src", "p.dst").agg(F.sum("p.w").alias("weight"))
 
 

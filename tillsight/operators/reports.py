@@ -27,9 +27,11 @@ def top_categories(sales: DataFrame, *, k: int = 5, item: str = "family") -> Dat
     return out.orderBy(F.col("approx_profit").desc(), F.col("total_sales").desc(), F.col(item)).limit(k)
 
 
-def city_growth(sales: DataFrame, *, place: str = "city") -> DataFrame:
+def city_growth(sales: DataFrame, *, place: str = "city", ordered: bool = True) -> DataFrame:
     """Yearly mean sale per place and its change against the previous year present.
 
+    ``ordered=False`` leaves the report's order (a range sort of one row per place and year) to whoever shows it.
+
     The growth is computed from the *rounded* yearly means, as reported; a
     place's first year, and a previous mean of zero, give null. The window is
     partitioned by place, so each task holds one place's years only.
@@ -39,8 +41,8 @@ def city_growth(sales: DataFrame, *, place: str = "city") -> DataFrame:
               .agg(money_round(F.avg("sales"), 2).alias("avg_sales")))
     prev = F.lag("avg_sales").over(Window.partitionBy(place).orderBy("year"))
     growth = money_round(F.try_divide(F.col("avg_sales") - prev, prev) * 100, 2)
-    return (yearly.select(F.col(place), "avg_sales", "year", growth.alias("growth_rate_percent"))
-            .orderBy(place, "year"))
+    out = yearly.select(F.col(place), "avg_sales", "year", growth.alias("growth_rate_percent"))
+    return out.orderBy(place, "year") if ordered else out
 
 
 def city_totals(sales: DataFrame, *, place: str = "city") -> DataFrame:
@@ -55,6 +57,17 @@ def top_cities(sales: DataFrame, *, k: int = 10, place: str = "city") -> DataFra
             .orderBy(F.col("total_sales").desc(), F.col(place)).limit(k))
 
 
+def city_choices(totals: DataFrame, *, k: int = 10, place: str = "city") -> DataFrame:
+    """The drop-down list of places: the ``k`` of ``totals`` (``city_totals``) with the highest totals, by name."""
+    top = totals.orderBy(F.col("total_sales").desc(), F.col(place)).limit(k)
+    return top.select(place).orderBy(place)
+
+
+def growth_of_choice(growth: DataFrame, choices: DataFrame, *, place: str = "city") -> DataFrame:
+    """Growth rows of the first of ``choices`` (one row, joined back)."""
+    return growth.join(F.broadcast(choices.orderBy(place).limit(1)), on=place, how="left_semi")
+
+
 def city_growth_for(sales: DataFrame, city: str | None = None, *, choices: int = 10,
                     place: str = "city") -> DataFrame:
     """Growth rows of one place (the drill-down of the growth table).
@@ -63,11 +76,10 @@ def city_growth_for(sales: DataFrame, city: str | None = None, *, choices: int =
     top places is used, as the drop-down list offers it first. The choice is
     a one-row frame joined back, never a value spliced into SQL text.
     """
-    growth = city_growth(sales, place=place)
+    growth = city_growth(sales, place=place, ordered=False)
     if city is not None:
         return growth.where(F.col(place) == F.lit(city))
-    pick = top_cities(sales, k=choices, place=place).select(place).orderBy(place).limit(1)
-    return growth.join(F.broadcast(pick), on=place, how="left_semi")
+    return growth_of_choice(growth, city_choices(city_totals(sales, place=place), k=choices, place=place), place=place)
 
 
 def category_breadth(sales: DataFrame, *, by: str = "city", item: str = "family",

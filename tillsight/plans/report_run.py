@@ -114,10 +114,13 @@ def _run(spark: SparkSession, raw: DataFrame, out: str, p: ReportParams, paralle
                                     frac=p.train_frac)
     split = checkpointed(split)
 
-    totals = reports.city_totals(sales, place=p.place)
+    # totals and growth hold a row per place (and year): computed once, and all that follows reads them
+    totals = checkpointed(reports.city_totals(sales, place=p.place))
+    growth = checkpointed(reports.city_growth(sales, place=p.place, ordered=False))
+    choices = reports.city_choices(totals, k=p.city_choices, place=p.place)
     tables = {
         "top_categories": reports.top_categories(sales, k=p.top_k_categories),
-        "city_growth": reports.city_growth(sales, place=p.place),
+        "city_growth": growth.orderBy(p.place, "year"),
         "category_breadth": reports.category_breadth(sales, by=p.place, min_categories=p.breadth_min_categories,
                                                      k=p.breadth_k),
         "promotion_impact": reports.promotion_impact(sales, cuts=p.promo_cuts),
@@ -127,15 +130,15 @@ def _run(spark: SparkSession, raw: DataFrame, out: str, p: ReportParams, paralle
     displayed = list(tables)
     tables["diag_post_clean"] = diagnostics.invalid_counts(sales)
     tables["city_totals"] = totals
-    tables["city_growth_filtered"] = reports.city_growth_for(sales, choices=p.city_choices, place=p.place)
+    tables["city_choices"] = choices
+    tables["city_growth_filtered"] = reports.growth_of_choice(growth, choices, place=p.place)
     corr = timeseries.correlation_matrix(monthly)
     tables["promo_correlation"] = corr
-    pair = stats.ranked(totals, order_col="total_sales", key=p.place, k=2)
     # small results the summary also needs: computed once (checkpointed), then
     # both written and summarised, never recomputed from the facts
     shared = {
         "kpis": reports.kpis(sales, monthly),
-        "ttest": stats.welch_ttest(sales, pair, group=p.place, value="sales"),
+        "ttest": stats.welch_ttest_top(sales, group=p.place, value="sales"),
         "diag_invalid_counts": invalid,
         "diag_duplicate_groups": duplicates,
     }
@@ -178,7 +181,7 @@ def _run(spark: SparkSession, raw: DataFrame, out: str, p: ReportParams, paralle
             writes += [pool.submit(write, name, df) for name, df in branch.items()]
             results.update(branch)
         charts = chart_series(split_series=split, predictions=results["forecast_predictions"],
-                              top_cities=reports.top_cities(sales, k=p.city_choices, place=p.place),
+                              top_cities=totals.orderBy(F.col("total_sales").desc(), F.col(p.place)).limit(p.city_choices),
                               correlation=corr, place=p.place)
         writes.append(pool.submit(lambda: {"charts": write_chart_series(charts, f"{out}/charts", fmt=p.fmt)}))
         top = results["graph_top_nodes"]
