@@ -76,6 +76,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.85 and np.mean([s >= 0.7 for s in clean]) < 0.02 and np.mean([s >= 0.7 for s in toxic]) > 0.6
 
 
+@pytest.mark.parametrize("lists", [True, False])
+def test_toxicity_by_language(spark, monkeypatch, lists):
+    # held-out rows of each language; without the fixed lists everything rests on what is learned
+    if not lists:
+        monkeypatch.setattr(toxicity, "INSULTS", frozenset())
+        monkeypatch.setattr(toxicity, "CONTEMPT", frozenset())
+    sf = SF_SMALL.replace("sf0.01", "sf0.1")
+    rows = (queries.QUERIES["op1_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+            .join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+            .groupBy("lang", "toxic").agg(F.avg("predicted").alias("share")).collect())
+    share = {(r.lang, r.toxic): r.share for r in rows}
+    assert share["en", 1] > 0.85 and share["fr", 1] > 0.8 and share["es", 1] > 0.8 and share["de", 1] > 0.4
+    assert max(v for (_, toxic), v in share.items() if not toxic) < 0.005
+
+
 def test_toxicity_edges(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     odd = spark.createDataFrame([(None, 1), (7, None), (99_999, 1)], "doc_id long, toxic int")

@@ -40,6 +40,8 @@ imbécile connard crétin idiota imbécil estúpido""".split())
 CONTEMPT = frozenset("""scum trash worthless pathetic disgusting vermin filth abschaum ordure basura escoria""".split())
 SECOND_PERSON = frozenset("you your du dich dir tu toi vous eres tú".split())
 
+#: Share of the learned features that chance may have put among them.
+FALSE_SHARE = 0.2
 STEMS = (4, 5, 6)
 VOTERS = ("insult", "contempt", "word", "stem4", "stem5", "stem6", "several", "addressed", "dense", "none")
 #: Vote shares (clean, abstain, toxic) of a voter in clean and in toxic documents to begin with.
@@ -99,8 +101,10 @@ def text_features(texts: pd.Series) -> pd.Series:
 def associated(rows: DataFrame, keep: int, least: float) -> list[str]:
     """Features that mark class 1 (at most ``keep``): rows hold ``features`` and ``p``, the label or posterior.
 
-    A feature counts when a share of ``least`` of its documents is of class 1 and the likelihood ratio against
-    the base rate exceeds what the best of so many features reaches by chance. Rows with equal features (copies
+    A feature counts when a share of ``least`` of its documents is of class 1 and it passes a cut by false discovery
+    rate (Benjamini and Hochberg's step-up over all features, a feature's chance being bounded by exp(-likelihood ratio)
+    against the base rate): about ``FALSE_SHARE`` of what is kept may be there by chance, however many features are
+    tried, so the words of a language with few labelled rows are not held to the luckiest of all. Rows with equal features (copies
     of one text) count once, or a copied toxic text would make all of its words suspect.
     """
     rows = rows.groupBy("features").agg(F.avg("p").alias("p"))
@@ -110,13 +114,14 @@ def associated(rows: DataFrame, keep: int, least: float) -> list[str]:
     share = min(max(base["t"] / base["n"], 1e-4), 1 - 1e-4)
     counted = stage(rows.select("p", F.explode("features").alias("feature")).groupBy("feature")
                     .agg(F.sum("p").alias("t"), F.count(F.lit(1)).alias("n")).where("n >= 3"), "features")
-    needed = math.log(max(counted.count(), 1)) + 2
+    tried = math.log(max(counted.count(), 1) / FALSE_SHARE)
     rate = F.col("t") / F.col("n")
     ratio = (F.col("t") * F.log(rate / F.lit(share))
              + F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((1 - rate) / F.lit(1 - share))).otherwise(0.0))
-    best = (counted.where(rate >= least).withColumn("ratio", ratio).where(F.col("ratio") >= needed)
-            .orderBy(F.col("ratio").desc(), "feature").limit(keep))
-    return [r["feature"] for r in best.collect()]                                # at most ``keep`` rows
+    best = (counted.where(rate >= least).withColumn("ratio", ratio).where(F.col("ratio") >= tried - math.log(keep))
+            .orderBy(F.col("ratio").desc(), "feature").limit(keep).select("feature", "ratio")).collect()   # at most ``keep`` rows
+    passed = [k for k, r in enumerate(best, 1) if r["ratio"] >= tried - math.log(k)]
+    return [r["feature"] for r in best[:max(passed, default=0)]]
 
 
 def voter_weights(patterns: np.ndarray, counts: np.ndarray, model: LabelModel) -> np.ndarray:
