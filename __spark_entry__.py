@@ -32,7 +32,7 @@ from tillsight.operators import cleaning, diagnostics, graph, reports, selection
 from tillsight.operators import forecast as fc
 from tillsight.session import checkpointed, staging_path
 from tillsight.sinks import chart_series, read_reports, summary, write_reports
-from tillsight.sources import raw_sales_from_star, read_sales_csv, sales_from_star, write_sales_csv
+from tillsight.sources import raw_sales_from_star, read_sales_csv, read_sales_parts, sales_from_star, write_sales_csv
 
 try:   # the training-data operators; the rest of the library works without them
     from corpus_pipeline import run as _pipeline
@@ -200,6 +200,15 @@ def q_csv_scan(spark, d):
     return read_sales_csv(spark, path)
 
 
+def q_csv_parts(spark, d):
+    """The raw rows written as parts with two header orders, read as one table."""
+    path, raw = staging_path(spark, "sales_parts"), _raw(spark, d)
+    known = F.col("city").isNotNull()
+    write_sales_csv(raw.where(known), f"{path}/a")
+    write_sales_csv(raw.where(~known).select(*reversed(raw.columns)), f"{path}/b")
+    return read_sales_parts(spark, f"{path}/*")[0]
+
+
 def q_report_sink(spark, d):
     """Five reports written, and every cell read back: (report, key, measure, value)."""
     tables = {
@@ -283,6 +292,7 @@ def q_chart_series(spark, d):
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources and cleaning
     "csv_scan": q_csv_scan,
+    "csv_parts": q_csv_parts,
     "clean_drop_nulls": lambda s, d: cleaning.drop_nulls(_raw(s, d)),
     "clean_typed": _typed,
     "clean_valid": lambda s, d: cleaning.keep_valid(_typed(s, d)),
@@ -664,6 +674,7 @@ def _w_rec(*ctes: str) -> str:
 def _oracles() -> dict[str, str]:
     o: dict[str, str] = {}
     raw_cols = "store_nbr, family, city, date, sales, transactions, onpromotion"
+    o["csv_parts"] = _w(RAW) + f"SELECT {raw_cols} FROM raw"
     o["csv_scan"] = _w(RAW) + f"SELECT {raw_cols} FROM raw"
     o["clean_drop_nulls"] = _w(TYPED) + f"SELECT {raw_cols} FROM nonnull"
     o["clean_typed"] = _w(TYPED) + "SELECT * FROM typed"

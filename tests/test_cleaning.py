@@ -111,3 +111,26 @@ def test_parts_with_another_header_order_raise(spark, tmp_path):
     from tillsight.sources import read_sales_csv
     with pytest.raises(Exception, match="(?s)header does not conform|FAILED_READ_FILE"):
         read_sales_csv(spark, str(tmp_path)).collect()
+
+
+def test_parts_with_different_headers_are_read_by_name(spark, tmp_path):
+    from tillsight.sources import read_sales_parts
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "a.csv").write_text("store_nbr,family,city,date,sales,transactions,onpromotion\n1,A,Q,1/1/2014,5,2,0\n1,B,Q\n")
+    (folder / "b.csv").write_text('sales,"family",city,date,store_nbr,transactions,onpromotion,note\n7,C,"L, x",1/2/2014,2,3,1,hi\n8,C,L,1/2/2014,2,3,1,hi,more\n')
+    (folder / "c.csv").write_text("store_nbr,family,city,date,sales,transactions,onpromotion\n3,D,R,1/3/2014,9,1,0\n")
+    (folder / "empty.csv").write_text("")
+    rows, lines = read_sales_parts(spark, str(folder))
+    assert rows.columns == ["store_nbr", "family", "city", "date", "sales", "transactions", "onpromotion", "note"]
+    assert rows.select("city").count() == rows.count() == 3 and lines.count() == 2      # also of pruned scans
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([
+        ("1", "A", "Q", "1/1/2014", "5", "2", "0", None), ("2", "C", "L, x", "1/2/2014", "7", "3", "1", "hi"),
+        ("3", "D", "R", "1/3/2014", "9", "1", "0", None)], key=str)
+    assert sorted((r.file.rsplit("/", 1)[1], r.line) for r in lines.collect()) == [
+        ("a.csv", "1,B,Q"), ("b.csv", "8,C,L,1/2/2014,2,3,1,hi,more")]
+    (folder / "d.csv").write_text("store_nbr,family\n1,A\n")
+    with pytest.raises(ValueError, match="lacks columns"):
+        read_sales_parts(spark, str(folder))
+    with pytest.raises(FileNotFoundError):
+        read_sales_parts(spark, str(tmp_path / "nothing"))
