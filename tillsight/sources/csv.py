@@ -79,9 +79,10 @@ def read_sales_parts(spark: SparkSession, path: str, *, required: tuple[str, ...
         # all fields of a line are parsed whatever is selected: a pruned scan would not see that a line doesn't fit
         rows = (spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").option("columnPruning", "false")
                 .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).csv(files))
-        frames.append(rows.where(F.col(bad).isNull()).drop(bad))
-        # a column of the file is read along: Spark refuses scans of the corrupt lines alone
-        malformed.append(rows.where(F.col(bad).isNotNull())
+        # always true; reads a column of the file along, as Spark refuses scans of the corrupt lines alone
+        read = F.coalesce(F.length(F.col(f"`{header[0]}`")) >= 0, F.lit(True))
+        frames.append(rows.where(F.col(bad).isNull() & read).drop(bad))
+        malformed.append(rows.where(F.col(bad).isNotNull() & read)
                          .select(F.col("_metadata.file_path").alias("file"), F.col(bad).alias("line"), F.col(f"`{header[0]}`").alias("first")))
     if not frames:
         raise ValueError(f"sales CSV at {path} has no header")
