@@ -114,3 +114,22 @@ def test_hub_blocks_do_not_change_scores(spark):
     assert whole.keys() == cut.keys() and all(cut[k] == pytest.approx(v, abs=1e-12) for k, v in whole.items())
     star = {r.id: r.score for r in graph.eigenvector_centrality(_star(spark, 100), block_rows=9).collect()}
     assert star["hub"] == pytest.approx(math.sqrt(0.5), abs=1e-4) and star["leaf5"] == pytest.approx(math.sqrt(0.5) / 10, abs=1e-4)
+
+
+def test_centres_of_components_can_be_split(spark):
+    # a star whose edges are most of the graph: its rows of the join are spread over several tasks
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        star = _star(spark, 60_000).unionByName(spark.createDataFrame([("x", "y", 1.0), ("y", "z", 1.0)], "src string, dst string, weight double"))
+        large = graph._large_star(graph._undirected(star).repartition(8))
+        large.collect()
+        assert "skew=true" in large._jdf.queryExecution().executedPlan().toString()
+        comps = graph.connected_components(graph.vertices(star), star)
+        assert sorted(map(tuple, comps.groupBy("component").count().collect())) == [("hub", 60_001), ("x", 3)]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -8,6 +8,7 @@ which read the shared folder the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        warnings.warn(f"spark.checkpoint.dir is not set: checkpoints and staged tables go to {configured}, "
+                      "which the driver and all executors must share", RuntimeWarning, stacklevel=2)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
