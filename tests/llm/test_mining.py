@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL, SF_SMOKE
 from tests.llm.conftest import edge_rows
@@ -82,7 +83,7 @@ def test_collocation_scores_stay_exact_over_64_bits(spark):
 
 def test_key_filter_never_misses(spark):
     words = [f"w{i}é" for i in range(5000)]
-    bits = tokens.key_filter(spark.createDataFrame([(w,) for w in words], "w string"), *[__import__("pyspark").sql.functions.col("w")])
+    bits = tokens.key_filter(spark.createDataFrame([(w,) for w in words], "w string"), F.col("w"))
     assert tokens.passes(bits.value, tokens.combined([tokens.hashes([w.encode() for w in words])])).all()
     other = tokens.passes(bits.value, tokens.combined([tokens.hashes([f"v{i}".encode() for i in range(5000)])]))
     assert other.mean() < 0.01
