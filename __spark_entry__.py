@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.formatting import format_report
 from tillsight.functions.rounding import money_round
-from tillsight.operators import cleaning, diagnostics, graph, reports, selection, stats, timeseries
+from tillsight.operators import cleaning, cube, diagnostics, graph, reports, selection, stats, timeseries
 from tillsight.operators import forecast as fc
 from tillsight.session import checkpointed, staging_path
-from tillsight.sinks import chart_series, read_reports, summary, write_reports
+from tillsight.sinks import OutputSet, chart_series, read_published, read_reports, summary, write_reports
 from tillsight.sources import raw_sales_from_star, read_sales_csv, read_sales_parts, sales_from_star, write_sales_csv
 
 try:   # the training-data operators; the rest of the library works without them
@@ -219,15 +219,44 @@ def q_report_sink(spark, d):
         "high_risk_orders": reports.high_risk_orders(
             _sales(spark, d, "store_nbr", "family", "sales", "transactions"), **HIGH_RISK),
     }
-    keys = {"top_categories": ["family"], "city_growth": ["city", "year"], "category_breadth": ["unique_categories"],
-            "promotion_impact": ["promotion_range"], "high_risk_orders": ["store_nbr", "family"]}
-    back = read_reports(spark, write_reports(tables, staging_path(spark, "reports")))
-    cells = [df.select(F.lit(name).alias("report"), F.concat_ws("/", *keys[name]).alias("key"), F.explode(F.array(*[
+    return _cells_of(read_reports(spark, write_reports(tables, staging_path(spark, "reports"))))
+
+
+_REPORT_KEYS = {"top_categories": ["family"], "city_growth": ["city", "year"], "category_breadth": ["unique_categories"],
+                "promotion_impact": ["promotion_range"], "high_risk_orders": ["store_nbr", "family"],
+                "city_totals": ["city"]}
+
+
+def _cells_of(tables):
+    """Every cell of the reports as (report, key, measure, value)."""
+    cells = [df.select(F.lit(name).alias("report"), F.concat_ws("/", *_REPORT_KEYS[name]).alias("key"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
-        for c in df.columns if c not in keys[name]])).alias("cell")) for name, df in back.items()]
+        for c in df.columns if c not in _REPORT_KEYS[name]])).alias("cell")) for name, df in tables.items()]
     return reduce(DataFrame.unionByName, cells).select("report", "key", "cell.*")
 
 
+def _cube(spark, d):
+    return checkpointed(cube.sales_cube(_sales(spark, d)))
+
+
+def q_published_reports(spark, d):
+    """Six reports derived from shared cells, published as one set and read back through its manifest."""
+    sales = _sales(spark, d)
+    cells, months = _cube(spark, d), cube.store_months(sales, **HIGH_RISK)
+    tables = {
+        "top_categories": cube.top_categories(cells),
+        "city_growth": cube.city_growth(cells, ordered=False),
+        "category_breadth": cube.category_breadth(cells, sales),
+        "promotion_impact": cube.promotion_impact(cells),
+        "high_risk_orders": cube.high_risk_orders(months),
+        "city_totals": reports.city_totals(cells),
+    }
+    root = staging_path(spark, "published")
+    outputs = OutputSet(spark, root)
+    outputs.publish(write_reports(tables, outputs.folder))
+    return _cells_of(read_published(spark, root))
+
+
 def _forecast(spark, d, trees, depth=5):
     s = checkpointed(_split(spark, d))   # month grain; fit and prediction both read it
     model = fc.fit_forecast(s.where(F.col("split") == "train"), trees=trees, depth=depth)
@@ -334,6 +363,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "price_percentiles": q_price_percentiles,
     "line_split": q_line_split,
     "line_outliers_removed": q_line_outliers,
+    "monthly_sales_from_cells": lambda s, d: cube.monthly_sales(cube.store_months(_sales(s, d))),
     "promo_correlation": lambda s, d: timeseries.correlation_matrix(_monthly(s, d)),
     # graph
     "copurchase_pairs": _pairs,
@@ -352,6 +382,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_node_profile": q_node_profile,
     # statistics and model
     "ttest_top_cities": _ttest,
+    "ttest_from_cube": lambda s, d: cube.welch_ttest_top(_cube(s, d), decimals=4),
     "regression_metrics": lambda s, d: stats.regression_metrics(_naive_predictions(s, d), decimals=4),
     "forecast_features": lambda s, d: fc.features(_trimmed(s, d)),
     "forecast_predict": q_forecast,
@@ -359,6 +390,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_values": lambda s, d: _forecast(s, d, FORECAST_TREES),
     # sinks
     "sink_report_tables": q_report_sink,
+    "sink_published_reports": q_published_reports,
     "chart_series": q_chart_series,
     "report_summary": q_summary,
 }
@@ -796,6 +828,16 @@ FROM ok GROUP BY split"""
                                  HIGH_RISK_SQL) + "\nUNION ALL\n".join(
         f"SELECT '{name}' AS report, {key} AS key, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM {cte}"
         for name, cte, key, measures in cells for m in measures)
+    by_city = o["category_breadth_city"].removeprefix(_w(SALES))
+    published = [("category_breadth", "category_breadth_city", "CAST(unique_categories AS VARCHAR)",
+                  ("city_count", "avg_distinct_tx")), ("city_totals", "city_totals", "city", ("total_sales",)),
+                 *[c for c in cells if c[0] != "category_breadth"]]
+    o["sink_published_reports"] = _w(SALES, TOP_CATEGORIES, CITY_GROWTH, PROMO, HIGH_RISK_SQL, CITY_TOTALS,
+                                     f"category_breadth_city AS ({by_city})") + "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS report, {key} AS key, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM {cte}"
+        for name, cte, key, measures in published for m in measures)
+    o["ttest_from_cube"] = o["ttest_top_cities"]
+    o["monthly_sales_from_cells"] = o["monthly_sales"]
     o["forecast_predict"] = _w(SALES, SERIES) + "SELECT ds, split, y AS actual, TRUE AS in_range FROM split"
     # regression stump: over both features and all midpoints between neighbouring values, the split of least squared error
     stump = f""",

@@ -8,7 +8,7 @@ limit has key columns as tie-breakers so its result is deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions.rounding import money_round
@@ -19,6 +19,11 @@ def top_categories(sales: DataFrame, *, k: int = 5, item: str = "family") -> Dat
     agg = (sales.where(F.col("sales").isNotNull())
            .groupBy(item)
            .agg(F.sum("sales").alias("_s"), F.avg("onpromotion").alias("_p")))
+    return best_categories(agg, k=k, item=item)
+
+
+def best_categories(agg: DataFrame, *, k: int, item: str) -> DataFrame:
+    """The ``k`` best of one row per category: total (``_s``) and mean promotion (``_p``)."""
     out = agg.select(
         F.col(item),
         money_round(F.col("_s"), 2).alias("total_sales"),
@@ -39,6 +44,11 @@ def city_growth(sales: DataFrame, *, place: str = "city", ordered: bool = True)
     yearly = (sales.where(F.col("date").isNotNull())
               .groupBy(F.col(place), F.year("date").alias("year"))
               .agg(money_round(F.avg("sales"), 2).alias("avg_sales")))
+    return yearly_growth(yearly, place=place, ordered=ordered)
+
+
+def yearly_growth(yearly: DataFrame, *, place: str, ordered: bool) -> DataFrame:
+    """Growth against the year before, of one row per place and year (``avg_sales``)."""
     prev = F.lag("avg_sales").over(Window.partitionBy(place).orderBy("year"))
     growth = money_round(F.try_divide(F.col("avg_sales") - prev, prev) * 100, 2)
     out = yearly.select(F.col(place), "avg_sales", "year", growth.alias("growth_rate_percent"))
@@ -95,6 +105,11 @@ def category_breadth(sales: DataFrame, *, by: str = "city", item: str = "family"
                  .agg(F.count_distinct(item).alias("unique_categories"),
                       F.count_distinct("transactions").alias("_distinct_tx"))
                  .where(F.col("unique_categories") > min_categories))
+    return breadth_histogram(per_place, by=by, k=k)
+
+
+def breadth_histogram(per_place: DataFrame, *, by: str, k: int) -> DataFrame:
+    """Places (``by``, unique_categories, _distinct_tx) by number of categories."""
     hist = (per_place.groupBy("unique_categories")
             .agg(F.count(by).alias("city_count"),
                  money_round(F.avg("_distinct_tx"), 0).alias("avg_distinct_tx")))
@@ -137,19 +152,29 @@ def high_risk_orders(sales: DataFrame, *, max_sales: float = 10, max_transaction
     both are positive; the filter runs before the aggregate (and is pushed
     into the scan where the source allows).
     """
-    s, t = F.col("sales"), F.col("transactions")
-    rows = sales.where(((s < max_sales) | (t < max_transactions)) & (s > 0) & (t > 0))
-    agg = (rows.groupBy("store_nbr", item)
+    agg = (sales.where(low_value(max_sales, max_transactions)).groupBy("store_nbr", item)
            .agg(money_round(F.sum("sales"), 2).alias("sales"),
                 F.sum("transactions").alias("transactions")))
+    return lowest(agg, k=k, item=item)
+
+
+def low_value(max_sales: float, max_transactions: int) -> Column:
+    """Sales or transactions under their threshold, both positive."""
+    s, t = F.col("sales"), F.col("transactions")
+    return ((s < max_sales) | (t < max_transactions)) & (s > 0) & (t > 0)
+
+
+def lowest(agg: DataFrame, *, k: int, item: str) -> DataFrame:
+    """The ``k`` lowest store x category totals."""
     return agg.orderBy("sales", "transactions", "store_nbr", item).limit(k)
 
 
-def kpis(sales: DataFrame, monthly: DataFrame | None = None, *, item: str = "family") -> DataFrame:
+def kpis(sales: DataFrame, monthly: DataFrame | None = None, *, item: str = "family",
+         n_records: Column | None = None) -> DataFrame:
     """One row of headline figures.
 
     Without ``monthly`` (already made monthly totals) the facts are read once: the monthly groups
-    carry the record counts too.
+    carry the record counts too. ``n_records``: the count of records where it is already known.
 
     total_sales      sum of the (rounded, positive) monthly group totals
     avg_group_sales  mean of those monthly (year, month, store, category) totals
@@ -167,7 +192,8 @@ def kpis(sales: DataFrame, monthly: DataFrame | None = None, *, item: str = "fam
             money_round(F.sum(total), 2).alias("total_sales"), money_round(F.avg(total), 2).alias("avg_group_sales"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"),
             F.concat_ws("-", F.min(year).cast("string"), F.max(year).cast("string")).alias("period"))
-    n_records = sales.select(F.count("transactions")).scalar()
+    if n_records is None:
+        n_records = sales.select(F.count("transactions")).scalar()
     return monthly.agg(
         money_round(F.sum("total_sales"), 2).alias("total_sales"),
         money_round(F.avg("total_sales"), 2).alias("avg_group_sales"),

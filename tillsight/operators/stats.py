@@ -49,6 +49,11 @@ def welch_ttest_top(df: DataFrame, *, group: str = "city", value: str = "sales",
     total = df.where(F.col(group).isNotNull()).groupBy(group).agg(
         money_round(F.sum(value), 2).alias("_total"), F.count(value).alias("n"), F.avg(value).alias("m"),
         F.var_samp(value).alias("v"))
+    return welch_of_top(total, group=group, decimals=decimals)
+
+
+def welch_of_top(total: DataFrame, *, group: str, decimals: int | None) -> DataFrame:
+    """The test between the two largest of one row per group: _total, n, m (mean), v (sample variance)."""
     order = (F.col("_total").desc(), F.col(group))
     pair = total.orderBy(*order).limit(2)
     return _welch(pair.withColumn("rank", F.row_number().over(Window.orderBy(*order))), group, decimals)

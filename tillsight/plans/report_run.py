@@ -4,16 +4,18 @@ Shape of the job (each arrow a Spark job or a few; nothing collected):
 
   raw text --cast--> typed  [written]  --> diagnostics (invalid counts, duplicate groups)
                        |
-                       +--valid + dedup--> clean  [written]
-                                             |--> reports (5) + city totals + KPIs
-                                             |--> monthly facts [written] --> series --> trim --> split
-                                             |                                 |--> correlation
-                                             |                                 '--> GBT fit / predict / metrics
-                                             |--> co-purchase pairs --> edges --> centrality --> top-k
-                                             |                                 --> subgraph --> largest component
-                                             |                                 --> node profile
-                                             '--> Welch t-test of the two top cities
-  outputs: report tables, chart data (by chart), summary, model
+                       +--valid + dedup--> clean  [written], read four times:
+                                             |--> cells by place, category, year, promotion [checkpoint]
+                                             |      --> top categories, growth, totals, promotion impact, t-test,
+                                             |          node profile, checks, record count, categories per place
+                                             |--> cells by store, category, month [written] --> low-value orders
+                                             |      --> monthly facts --> series --> trim --> split, KPIs
+                                             |                   |--> correlation
+                                             |                   '--> GBT fit / predict / metrics
+                                             |--> distinct transaction values per place --> breadth
+                                             '--> co-purchase pairs --> edges --> centrality --> top-k
+                                                                 --> subgraph --> largest component
+  outputs: report tables, chart data (by chart), summary, model: one set, published by its manifest at the end
 
 The typed and clean tables are written once to the shared staging folder:
 every later job reads a columnar, pruned source instead of re-parsing the
@@ -30,10 +32,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.functions.formatting import format_report
-from tillsight.operators import cleaning, diagnostics, graph, reports, stats, timeseries
+from tillsight.operators import cleaning, cube, diagnostics, graph, reports, stats, timeseries
 from tillsight.operators import forecast as fc
 from tillsight.session import checkpointed, delete_path, staging_path
-from tillsight.sinks import chart_series, read_reports, summary, write_chart_series, write_reports
+from tillsight.sinks import OutputSet, chart_series, read_reports, summary, write_chart_series, write_reports
 
 
 @dataclass
@@ -81,9 +83,13 @@ def _threshold(pairs: DataFrame, spec) -> float | Column:
 
 def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
                params: ReportParams | None = None, *, parallel: int = 4,
-               keep_stages: bool = False) -> dict[str, str]:
+               keep_stages: bool = False, keep_sets: int = 2) -> dict[str, str]:
     """Run the whole job; returns output name -> path.
 
+    The outputs are one set under ``out_dir``, published when all of it is written
+    (``sinks.read_published`` reads the newest): a run that fails leaves the set before as it was.
+    ``keep_sets`` published sets stay, older ones are deleted.
+
     After the shared stages are written, the independent branches (forecast,
     graph, reports, t-test) are submitted as concurrent Spark jobs from
     ``parallel`` driver threads: the boosted-tree fit is a long chain of tiny
@@ -93,8 +99,14 @@ def run_report(spark: SparkSession, raw: DataFrame, out_dir: str,
     failure, unless ``keep_stages``. Display tables are formatted from the written numeric tables.
     """
     staged: list[str] = []
+    outputs, params = OutputSet(spark, out_dir), params or ReportParams()
     try:
-        return _run(spark, raw, out_dir.rstrip("/"), params or ReportParams(), parallel, staged)
+        paths = _run(spark, raw, outputs.folder, params, parallel, staged)
+        outputs.publish(paths, fmt=params.fmt, keep=keep_sets)
+        return paths
+    except BaseException:
+        outputs.discard()
+        raise
     finally:
         if not keep_stages:
             for path in staged:
@@ -108,27 +120,29 @@ def _run(spark: SparkSession, raw: DataFrame, out: str, p: ReportParams, paralle
     invalid = diagnostics.invalid_counts(typed)
     duplicates = diagnostics.duplicate_groups(typed)
     sales = stage(cleaning.dedup(cleaning.keep_valid(typed)), "clean", staged)
-    monthly = stage(timeseries.monthly_sales(sales), "monthly", staged)
+    months = stage(cube.store_months(sales, max_sales=p.risk_max_sales, max_transactions=p.risk_max_transactions),
+                   "monthly", staged)
+    monthly = cube.monthly_sales(months)
+    cells = checkpointed(cube.sales_cube(sales, place=p.place, cuts=p.promo_cuts))
     series = timeseries.monthly_series(monthly, mode=p.series_mode)
     split = timeseries.chrono_split(timeseries.drop_upper_outliers(series, q=p.outlier_q),
                                     frac=p.train_frac)
     split = checkpointed(split)
 
     # totals and growth hold a row per place (and year): computed once, and all that follows reads them
-    totals = checkpointed(reports.city_totals(sales, place=p.place))
-    growth = checkpointed(reports.city_growth(sales, place=p.place, ordered=False))
+    totals = checkpointed(reports.city_totals(cells, place=p.place))
+    growth = checkpointed(cube.city_growth(cells, place=p.place, ordered=False))
     choices = reports.city_choices(totals, k=p.city_choices, place=p.place)
     tables = {
-        "top_categories": reports.top_categories(sales, k=p.top_k_categories),
+        "top_categories": cube.top_categories(cells, k=p.top_k_categories),
         "city_growth": growth.orderBy(p.place, "year"),
-        "category_breadth": reports.category_breadth(sales, by=p.place, min_categories=p.breadth_min_categories,
-                                                     k=p.breadth_k),
-        "promotion_impact": reports.promotion_impact(sales, cuts=p.promo_cuts),
-        "high_risk_orders": reports.high_risk_orders(sales, max_sales=p.risk_max_sales,
-                                                     max_transactions=p.risk_max_transactions, k=p.risk_k),
+        "category_breadth": cube.category_breadth(cells, sales, place=p.place,
+                                                  min_categories=p.breadth_min_categories, k=p.breadth_k),
+        "promotion_impact": cube.promotion_impact(cells),
+        "high_risk_orders": cube.high_risk_orders(months, k=p.risk_k),
     }
     displayed = list(tables)
-    tables["diag_post_clean"] = diagnostics.invalid_counts(sales)
+    tables["diag_post_clean"] = cube.invalid_counts(cells)
     tables["city_totals"] = totals
     tables["city_choices"] = choices
     tables["city_growth_filtered"] = reports.growth_of_choice(growth, choices, place=p.place)
@@ -137,8 +151,8 @@ def _run(spark: SparkSession, raw: DataFrame, out: str, p: ReportParams, paralle
     # small results the summary also needs: computed once (checkpointed), then
     # both written and summarised, never recomputed from the facts
     shared = {
-        "kpis": reports.kpis(sales, monthly),
-        "ttest": stats.welch_ttest_top(sales, group=p.place, value="sales"),
+        "kpis": reports.kpis(sales, monthly, n_records=cube.n_records(cells)),
+        "ttest": cube.welch_ttest_top(cells, place=p.place),
         "diag_invalid_counts": invalid,
         "diag_duplicate_groups": duplicates,
     }
@@ -160,7 +174,7 @@ def _run(spark: SparkSession, raw: DataFrame, out: str, p: ReportParams, paralle
         comp_nodes = checkpointed(graph.largest_component(graph.vertices(sub), sub))
         return {"graph_edges": edge_df, "graph_top_nodes": top,
                 "graph_component_edges": graph.induced(sub, comp_nodes),
-                "graph_node_profile": graph.node_profile(comp_nodes, scores, sales)}
+                "graph_node_profile": graph.node_profile(comp_nodes, scores, cells)}
 
     def write(name: str, df: DataFrame) -> dict[str, str]:
         done = write_reports({name: df}, f"{out}/tables", fmt=p.fmt, parallel=1)
