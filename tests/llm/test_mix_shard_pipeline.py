@@ -146,6 +146,56 @@ def test_hot_groups_have_shards_of_their_own(spark):
     assert len(near) == 8 and max(near) < 0.17 and min(near) > 0.06
 
 
+@pytest.mark.parametrize("hot", [0, 0.3])
+def test_leaves_reach_the_target_bytes(spark, hot):
+    # 3000 texts; with ``hot`` copies of one text hold that part of all bytes
+    texts = [f"{i} " + "x" * (i * 7919 % 400) for i in range(3000)]
+    total = sum(len(t) + 1 for t in texts)
+    copies = int(hot / (1 - hot) * total / 1001)
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts + ["y" * 1000] * copies)],
+                                 "doc_id long, text string, lang string, source string")
+    target = 9000
+    rows = sharding.shard_documents(docs, target_bytes=target).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert len(rows) == len(texts) + copies
+    wide = [n for n in sizes.values() if n > target + 410]
+    assert len(wide) == (1 if copies else 0) and sum(wide) == copies * 1001     # the group of copies alone
+    rest = [n for n in sizes.values() if n not in wide]
+    assert len(rest) >= total / target and min(rest) > target / 2
+
+
+def test_scopes_delete_what_is_staged(spark, tmp_path, monkeypatch):
+    import os
+    import threading
+
+    from tillsight.llm import common
+    made = []
+
+    def path(_, name):
+        made.append(str(tmp_path / f"{name}-{len(made)}"))
+        return made[-1]
+    monkeypatch.setattr(common, "staging_path", path)
+    with pytest.raises(RuntimeError):
+        with common.scratch(spark):
+            common.stage(spark.range(3), "a")
+            with common.scratch(spark):
+                common.stage(spark.range(3), "b")
+                kept = common.stage(spark.range(3), "c", keep=True)
+            assert [os.path.exists(p) for p in made] == [True, False, True] and kept.count() == 3
+            # another thread's table is not in this scope
+            other = threading.Thread(target=lambda: common.stage(spark.range(3), "d"))
+            other.start()
+            other.join()
+            raise RuntimeError
+    assert [os.path.exists(p) for p in made] == [False, False, False, True]
+    free = common.stage(spark.range(3), "e")
+    common.drop_staged(free)
+    common.drop_staged(spark.range(3))
+    assert not os.path.exists(made[-1])
+
+
 def test_shards_of_a_node_follow_its_bytes():
     assert sharding._left_shards(50, 50, 4) == 2 and sharding._left_shards(40, 60, 5) == 2
     assert sharding._left_shards(75, 25, 4) == 3 and sharding._left_shards(100, 0, 4) == 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -40,17 +41,21 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
 
 
-_scratch: list[list[str]] = []
+_scopes = threading.local()       # open scopes of this thread, innermost last
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables staged inside are deleted at the end, but for those staged with ``keep``."""
-    _scratch.append([])
+    """A scope: tables staged inside are deleted at its end, also after a failure.
+
+    Those staged with ``keep`` go over to the scope around it; without one they stay until ``drop_staged``.
+    """
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path in stack.pop():
             delete_path(spark, path)
 
 
@@ -62,10 +67,20 @@ def stage(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = staging_path(spark, name)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    scopes = _scopes.__dict__.get("stack", [])
+    scopes = scopes[:-1] if keep else scopes
+    if scopes:
+        scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._staged_path = path
+    return written
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the table that ``stage`` wrote for ``df`` (nothing for any other frame); ``df`` can't be read any more."""
+    if "_staged_path" in vars(df):
+        delete_path(df.sparkSession, df._staged_path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
