@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillsight.llm.common import PIECE_MODEL, documents, stage
+from tillsight.llm.common import PIECE_MODEL, documents, drop_staged, scratch, stage
 from tillsight.llm.exact_dedup import drop_copies
 from tillsight.llm.mixing import mix_rows
 from tillsight.llm.near_dedup import NearParams, drop_near_copies
@@ -57,8 +57,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table; what a stage wrote is deleted once the next is written."""
     docs = documents(spark, sf_dir)
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            after = stage(function(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        drop_staged(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
