@@ -12,9 +12,10 @@
    of the key's own, so the keys of a large group have different centres). Pairs
    whose collision-corrected estimate lies 5.5 standard deviations below the threshold go; the
    others are confirmed on their full shingle sets.
-4. Links give components. Only keys that still hold more than one component apart
-   from their centre are compared further, in blocks inside tasks: sketches first, then the full
-   sets, between different components only and each pair in the first key it shares. A task writes
+4. Links give components. Classes of keys that still hold more than one component apart from their
+   centre are grouped by their rarest shingles: sets alike enough share one of the first fifth in any
+   common order, so texts that share only what is common meet nowhere. Groups are compared in blocks
+   inside tasks: sketches first, then the full sets, between different components only. A task writes
    only the links that join components: no pair list of a group is ever made, and nothing is capped.
 
 Defined results: null and empty texts have no shingles and are linked with
@@ -49,6 +50,8 @@ MARGIN = 5.5
 SLACK = 0.01
 #: Most members of a block on average, and most shingles.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Counters that order shingles by how common they are (0.5 MB, a power of two).
+SLOTS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -237,15 +240,11 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, params: Ne
                  .select("a", "b"), "near-links")
 
 
-def join_components(x: pd.DataFrame, y: pd.DataFrame, at: int, params: NearParams) -> list[tuple[int, int]]:
-    """Links that join components of one block with those of another (columns node, root, n_shingles, sketch, short, set).
-
-    ``at``: the band of the key; a pair that shares an earlier band was compared there.
-    """
+def join_components(x: pd.DataFrame, y: pd.DataFrame, params: NearParams) -> list[tuple[int, int]]:
+    """Links that join components of one block with those of another (columns node, root, n_shingles, sketch, set)."""
     if x.empty or y.empty:
         return []
     a, b = (np.frombuffer(b"".join(s["sketch"]), np.uint16).reshape(len(s), -1) for s in (x, y))
-    p, q = (np.stack(s["short"].to_list())[:, :at] for s in (x, y))
     yn, yk = y["n_shingles"].to_numpy(), y["node"].to_list()
     owner: dict[int, int] = {}
 
@@ -259,7 +258,6 @@ def join_components(x: pd.DataFrame, y: pd.DataFrame, at: int, params: NearParam
         top = find(xr[k])
         to = np.flatnonzero((yr != top) & (100 * np.minimum(n, yn) >= params.percent * np.maximum(n, yn)))
         to = to[may_link(a[k], b[to], n + yn[to], params)] if len(to) else to
-        to = to[~(p[k] == q[to]).any(1)] if len(to) else to
         own = np.frombuffer(own, np.uint64)
         for j in to:
             other = find(int(yr[j]))
@@ -270,35 +268,87 @@ def join_components(x: pd.DataFrame, y: pd.DataFrame, at: int, params: NearParam
     return links
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """An order of ``SLOTS`` classes of shingles, rare ones first (one number a slot, whatever the corpus)."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            n += np.bincount(_slots(np.frombuffer(b"".join(batch["set"]), np.uint64)), minlength=SLOTS)
+        found = np.flatnonzero(n)
+        yield pd.DataFrame({"slot": found, "n": n[found]})
+
+    counted = sets.select("set").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = counted.toPandas()
+    n = np.zeros(SLOTS, np.int64)
+    n[found["slot"]] = found["n"]
+    return np.unique(n, return_inverse=True)[1].astype(np.int32)
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def rare_shingles(hashes: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in the common order: sets alike enough have one of them in common.
+
+    Two sets of similarity t or more share at least t of either, so all but that many, and one more, can't miss
+    them. The order is the same for all sets, so any counts give right results, and good ones short groups.
+    """
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, rarity[_slots(hashes)]))[:n + 1 + (-percent * n // 100)]]
+
+
 def _rest(members: DataFrame, roots: DataFrame, classes: DataFrame, rows: DataFrame, params: NearParams) -> DataFrame:
-    """Links between different components of a band key, its centre left out.
+    """Links between different components that share a band key, its centre left out.
 
-    Members of a key are dealt into blocks of bounded number and size; each task compares one block with
-    another and writes only links that join components.
+    Classes are grouped by their rarest shingles, so that a key held by very many unlike texts gives no work.
+    Groups of equal members are one. Large groups are dealt into blocks of bounded number and size; each task
+    compares one block with another and writes only links that join components.
     """
-    others = (members.where(F.col("node") != F.col("centre"))
-              .select("at", "band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-              .join(classes.select("node", "n_shingles"), "node"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)))
-    open_bands = stage(others.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"),
-                                                  blocks.cast("long").alias("blocks")).where("x <> y")
-                       .select("band", "blocks"), "open-bands")
+    others = (members.where(F.col("node") != F.col("centre")).select("band", "node")
+              .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    open_bands = stage(others.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+                       .select("band"), "open-bands")
     if open_bands.isEmpty():
         return members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    others = stage(others.join(open_bands, "band"), "open-members")
-    sets = _full_sets(others, classes, rows, params)
-    dealt = (others.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("at", "band", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right"))
-             .join(classes.select("node", "n_shingles", "sketch", F.transform("bands", lambda b: F.hash(b)).alias("short"))
-                   .join(sets, "node"), "node"))
+    nodes = stage(others.join(open_bands, "band").select("node", "root").distinct()
+                  .join(classes.select("node", "n_shingles"), "node"), "open-nodes")
+    sets = _full_sets(nodes, classes, rows, params)
+    rarity = _rarity(sets)
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [rare_shingles(np.frombuffer(s, np.uint64), rarity, params.percent) for s in batch["set"]]
+            yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), [len(f) for f in found]),
+                                "shingle": np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)})
+
+    rare = stage(sets.mapInPandas(rarest, "node long, shingle long").join(nodes, "node"), "rare-shingles")
+    # equal members, equal sums of their hashes: one group stands for all of them
+    prints = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"print{k}") for k in (0, 1)]
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)))
+    groups = stage(rare.groupBy("shingle").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"),
+        blocks.cast("long").alias("blocks"), *prints).where("x <> y")
+        .groupBy("n", "print0", "print1").agg(F.min("shingle").alias("shingle"), F.first("blocks").alias("blocks"))
+        .select("shingle", "blocks"), "shingle-groups")
+    dealt = stage(rare.join(groups, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                  .select("shingle", "node", "root", "n_shingles",
+                          F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                          (F.col("own") <= F.col("other")).alias("left"), (F.col("own") >= F.col("other")).alias("right")),
+                  "dealt")
+    # small groups share a call: as many calls as blocks of the usual size
+    size = dealt.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
+    calls = max(size["n"] // BLOCK, size["shingles"] // BLOCK_SHINGLES) + 1
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        links = join_components(block[block["left"]], block[block["right"]], int(block["at"].iloc[0]), params)
+        links = [link for _, group in block.groupby(["shingle", "i", "j"], sort=False)
+                 for link in join_components(group[group["left"]], group[group["right"]], params)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return (dealt.join(classes.select("node", "sketch").join(sets, "node"), "node")
+            .withColumn("call", F.pmod(F.xxhash64("shingle", "i", "j"), F.lit(calls)))
+            .groupBy("call").applyInPandas(compare, "a long, b long").distinct())
 
 
 def _decided(rows: DataFrame, params: NearParams) -> DataFrame:
