@@ -111,42 +111,6 @@ def test_blocks_join_components_without_centres(spark, monkeypatch):
     assert got == {(i, c) for i, _, c in expected_near(rows, 2)[0]}
 
 
-def test_rare_shingles_miss_no_pair():
-    rng = np.random.default_rng(3)
-    pool = np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64))
-    rarity = rng.integers(0, 5, near_dedup.SLOTS).astype(np.int32)
-    for percent in (50, 80, 95):
-        hit = 0
-        for _ in range(400):
-            a = np.sort(rng.choice(pool, rng.integers(1, 200), replace=False))
-            left = rng.permutation(a)[int(len(a) * rng.random() ** 3):]
-            b = np.unique(np.concatenate([left, rng.choice(pool, rng.integers(0, 4))]))
-            if len(b) and near_dedup.alike(a, b, near_dedup.NearParams(percent=percent)):
-                hit += 1
-                assert np.isin(*(near_dedup.rare_shingles(x, rarity, percent) for x in (a, b))).any()
-        assert hit > 20
-
-
-def test_texts_that_share_only_common_words_give_no_work(spark, monkeypatch):
-    # half of each set is common to all: every band has keys with hundreds of members, none of them linked
-    common = " ".join(f"c{i}" for i in range(90))
-    rows = [(k, common + " " + " ".join(f"d{k}x{i}" for i in range(40))) for k in range(3000)]
-    rows += [(3000 + k, rows[k][1] + " end") for k in range(5)]
-    staged = {}
-    real = near_dedup.stage
-
-    def spy(df, name, **more):
-        staged[name] = real(df, name, **more)
-        return staged[name]
-    monkeypatch.setattr(near_dedup, "stage", spy)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in near_dedup.near_copies(df).collect()}
-    assert got == {k: k % 3000 for k, _ in rows}
-    assert staged["members"].groupBy("band").count().agg({"count": "max"}).first()[0] > 250
-    assert staged["open-nodes"].count() > 2000
-    assert staged["dealt"].count() <= 10
-
-
 def test_near_edges(edge, empty):
     kept = near_dedup.drop_near_copies(edge)
     assert kept.columns == edge.columns
