@@ -275,6 +275,12 @@ def q_forecast_stump(spark, d):
     return p.select("ds", "split", "actual", money_round("predicted", 2).alias("predicted"))
 
 
+def q_forecast_two_stumps(spark, d):
+    """Two trees of depth 1: the second fits what the first leaves, at the learning rate of 0.1."""
+    p = _forecast(spark, d, 2, 1)
+    return p.select("ds", "split", "actual", money_round("predicted", 2).alias("predicted"))
+
+
 def _top_subgraph(spark, d):
     e = _edges_mean(spark, d)
     scores = checkpointed(graph.eigenvector_centrality(e))
@@ -387,6 +393,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "forecast_features": lambda s, d: fc.features(_trimmed(s, d)),
     "forecast_predict": q_forecast,
     "forecast_stump": q_forecast_stump,
+    "forecast_two_stumps": q_forecast_two_stumps,
     "forecast_values": lambda s, d: _forecast(s, d, FORECAST_TREES),
     # sinks
     "sink_report_tables": q_report_sink,
@@ -856,6 +863,19 @@ pred AS (
   SELECT f.ds, f.split, f.y AS actual, {_mr('CASE WHEN f.v <= b.cut THEN b.lo ELSE b.hi END')} AS predicted
   FROM f JOIN best b ON f.feature = b.feature)"""
     o["forecast_stump"] = _w(SALES, SERIES) + stump + " SELECT * FROM pred"
+    # boosting by squared error: the second tree fits twice the residuals of the first
+    o["forecast_two_stumps"] = _w(SALES, SERIES) + stump + f""",
+first_tree AS (
+  SELECT f.ds, CASE WHEN f.v <= b.cut THEN b.lo ELSE b.hi END AS p FROM f JOIN best b ON f.feature = b.feature),
+rest AS (SELECT f.*, a.p, 2 * (f.y - a.p) AS r FROM f JOIN first_tree a ON f.ds = a.ds),
+means AS (
+  SELECT c.feature, c.cut, AVG(r) FILTER (WHERE t.v <= c.cut) AS lo, AVG(r) FILTER (WHERE t.v > c.cut) AS hi,
+         COUNT(*) FILTER (WHERE t.v <= c.cut) AS n_lo, COUNT(*) FILTER (WHERE t.v > c.cut) AS n_hi
+  FROM cand c JOIN rest t ON c.feature = t.feature AND t.split = 'train' GROUP BY c.feature, c.cut),
+second_tree AS (SELECT * FROM means ORDER BY n_lo * lo * lo + n_hi * hi * hi DESC LIMIT 1)
+SELECT t.ds, t.split, t.y AS actual,
+       {_mr("t.p + 0.1 * CASE WHEN t.v <= b.cut THEN b.lo ELSE b.hi END")} AS predicted
+FROM rest t JOIN second_tree b ON t.feature = b.feature"""
     o["graph_component_edges"] = _w_rec(SALES, TOPK, _components_ctes("subgraph", "sub")) + """
 SELECT * FROM subgraph WHERE src IN (SELECT id FROM sub_largest) AND dst IN (SELECT id FROM sub_largest)"""
     o["chart_series"] = _w(SALES, SERIES, TOP_CITIES) + stump + f""",
