@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -18,6 +19,15 @@ def spark():
     yield s
 
 
+@pytest.fixture(scope="module", autouse=True)
+def caches_end_with_module():
+    """What a module caches goes with it: Spark puts a cached frame into every equal plan of the session."""
+    yield
+    session = SparkSession.getActiveSession()
+    if session:
+        session.catalog.clearCache()
+
+
 DIRTY_CSV = """store_nbr,family,city,date,sales,transactions,onpromotion
 1,GROCERY,Quito,01/05/2014,100.50,12,0
 1,GROCERY,Quito,01/05/2014,100.50,12,0
